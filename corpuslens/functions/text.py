@@ -65,3 +65,13 @@ def with_term_counts(df: DataFrame, keep: list[str], text: str = "text") -> Data
         ),
     )
     return cut.select(*keep, terms.alias("terms"))
+
+
+def explode_rows(df: DataFrame, keep: list[str], elements: Column, name: str) -> DataFrame:
+    """One row per element of a computed array; rows without elements are dropped.
+
+    A plain explode lets the optimizer add the filter ``size(elements) > 0`` and push it to the
+    scan, which computes the whole array a second time. Exploding outer and dropping the null
+    element afterwards computes it once.
+    """
+    return df.select(*keep, F.explode_outer(elements).alias(name)).where(F.col(name).isNotNull())

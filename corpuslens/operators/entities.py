@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpuslens.functions import checksums
-from corpuslens.functions.text import tokens
+from corpuslens.functions.text import explode_rows, tokens
 from corpuslens.operators.longform import FIELDS
 from corpuslens.plans.lookups import lookup_join
 
@@ -131,17 +131,13 @@ def named_entities(
     )
     group = [*keys, "field"]
     split = long.select(*group, tokens(F.col("text")).alias("t"))
-    words = split.select(
-        *group,
-        F.explode(
-            F.transform(
-                "t",
-                lambda token, i: F.struct(
-                    token.alias("name0"), F.get("t", i + 1).alias("next1"), F.get("t", i + 2).alias("next2")
-                ),
-            )
-        ).alias("w"),
-    ).select(*group, "w.*")
+    with_next = F.transform(
+        "t",
+        lambda token, i: F.struct(
+            token.alias("name0"), F.get("t", i + 1).alias("next1"), F.get("t", i + 2).alias("next2")
+        ),
+    )
+    words = explode_rows(split, group, with_next, "w").select(*group, "w.*")
     met = lookup_join(words, lookup, ["name0"], "inner", group)
     whole = (F.col("name1").isNull() | (F.col("name1") == F.col("next1"))) & (
         F.col("name2").isNull() | (F.col("name2") == F.col("next2"))
@@ -161,9 +157,12 @@ def extract_entities(
     selected: list[str] | None = None,
 ) -> DataFrame:
     """(keys, field, pos, entity, text, score), one row per finding; pos is null for names."""
-    by_shape = long.select(
-        *keys, "field", F.posexplode(shape_entities(F.col("text"), selected)).alias("pos", "x")
-    ).select(*keys, "field", "pos", "x.*")
+    findings = F.transform(
+        shape_entities(F.col("text"), selected),
+        lambda x, i: F.struct(i.alias("pos"), x["entity"], x["text"], x["score"]),
+    )
+    group = [*keys, "field"]
+    by_shape = explode_rows(long, group, findings, "x").select(*group, "x.*")
     if names is None or not set(select_entities(selected)) & set(NAMED):
         return by_shape
     by_name = named_entities(long, keys, names, selected)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpuslens.data.patterns import PATTERN_GROUPS
+from corpuslens.functions.text import explode_rows
 from corpuslens.operators.longform import FIELDS
 
 Groups = list[tuple[str, str]]
@@ -42,4 +43,4 @@ def pattern_hits(long: DataFrame, keys: list[str], groups: Groups = PATTERN_GROU
     matched = F.array_distinct(
         F.array_compact(F.array(*[F.when(F.col("text").rlike(e), F.lit(n)) for n, e in groups]))
     )
-    return long.select(*keys, "field", F.explode(matched).alias("group"))
+    return explode_rows(long, [*keys, "field"], matched, "group")

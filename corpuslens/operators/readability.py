@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corpuslens.functions.text import (
     FIRST_100_TOKENS,
+    explode_rows,
     sentence_count,
     syllables,
     tokens,
@@ -45,7 +46,7 @@ COMMON_WORDS = 3_000
 
 def common_words(long: DataFrame, n: int = COMMON_WORDS) -> DataFrame:
     """(token, documents): the ``n`` tokens found in most texts, ties by token."""
-    present = long.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
+    present = explode_rows(long, [], F.array_distinct(tokens(F.col("text"))), "token")
     return (
         present.groupBy("token")
         .agg(F.count(F.lit(1)).alias("documents"))

@@ -13,7 +13,7 @@ from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpuslens.functions.text import shingles, tokens, with_term_counts
+from corpuslens.functions.text import explode_rows, shingles, tokens, with_term_counts
 from corpuslens.operators.longform import attach, to_long, widen
 from corpuslens.plans.lookups import lookup_join
 from corpuslens.plans.session import materialize
@@ -65,8 +65,11 @@ def shingle_similarity(
     example_shingles = example_tokens.select(
         "group", "example_id", shingles(F.col("t"), WIDTH).alias("parts")
     )
-    lookup = example_shingles.select(
-        "group", "example_id", F.size("parts").alias("size"), F.explode("parts").alias("shingle")
+    lookup = explode_rows(
+        example_shingles.withColumn("size", F.size("parts")),
+        ["group", "example_id", "size"],
+        F.col("parts"),
+        "shingle",
     )
     text_tokens = long.select(
         *keys, "field", F.col("text").isNotNull().alias("has_text"), tokens(F.col("text")).alias("t")
@@ -91,11 +94,9 @@ def example_weights(examples: DataFrame) -> DataFrame:
     also keeps a stop word from meeting every example. One more row per token, without an
     example, lets the same pass over a text add up the length of its own vector.
     """
-    terms = (
-        with_term_counts(distinct_examples(examples), ["group", "example_id"])
-        .select("group", "example_id", F.explode("terms").alias("x"))
-        .select("group", "example_id", "x.token", "x.tf")
-    )
+    example = ["group", "example_id"]
+    counted = with_term_counts(distinct_examples(examples), example)
+    terms = explode_rows(counted, example, F.col("terms"), "x").select(*example, "x.token", "x.tf")
     total = terms.select("group", "example_id").distinct().agg(F.count(F.lit(1))).scalar()
     idf = (
         terms.groupBy("token")
@@ -176,23 +177,23 @@ def dense_similarity(
     known = materialize(unit_vectors(examples, ["group", "example_id"], vector))
     counts = known.where(F.col("group").isin(*groups)).groupBy("group").agg(F.count("unit"))
     sizes = dict(counts.collect())
-    rows = unit_vectors(vectors, keys, vector)
-    columns = []
+    result = unit_vectors(vectors, keys, vector)
     for group in groups:
         blocks = max(1, ceil(sizes.get(group, 0) / per_block))
         in_group = known.where((F.col("group") == group) & F.col("unit").isNotNull())
         block = F.pmod(F.xxhash64("example_id"), F.lit(blocks))
+        result = result.withColumns(
+            {
+                f"_{group}_{b}": in_group.where(block == b).agg(F.collect_list("unit")).scalar()
+                for b in range(blocks)
+            }
+        )
         best = [
-            F.array_max(
-                F.transform(
-                    in_group.where(block == b).agg(F.collect_list("unit")).scalar(),
-                    lambda example: _dot(F.col("unit"), example),
-                )
-            )
+            F.array_max(F.transform(f"_{group}_{b}", lambda example: _dot(F.col("unit"), example)))
             for b in range(blocks)
         ]
-        columns.append((best[0] if blocks == 1 else F.greatest(*best)).alias(group))
-    return rows.select(*keys, *columns)
+        result = result.withColumn(group, best[0] if blocks == 1 else F.greatest(*best))
+    return result.select(*keys, *groups)
 
 
 def lsh_similarity(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from corpuslens.functions.text import tokens
+from corpuslens.functions.text import explode_rows, tokens
 from corpuslens.operators.longform import FIELDS, attach, to_long, widen
 from corpuslens.plans.lookups import lookup_join
 from corpuslens.plans.session import materialize
@@ -30,7 +30,7 @@ def learn_toxicity(
         )
     ).scalar()
     counts = (
-        labelled.select("toxic", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
+        explode_rows(labelled, ["toxic"], F.array_distinct(tokens(F.col("text"))), "token")
         .groupBy("token")
         .agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("f"))
         .where(F.col("t") >= support)

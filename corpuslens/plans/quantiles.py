@@ -11,8 +11,8 @@ def exact_quantiles(values: DataFrame, by: list[str], probabilities: list[float]
     """(by, probability, quantile) with linear interpolation between neighbouring ranks.
 
     A quantile sketch first gives, for each probability, two values that surely enclose the
-    rank sought. The rows below the lower one are only counted; the few values in between are
-    summed up by value and ranked. ``by`` must have few distinct values (a field and a metric):
+    rank sought (a small group is taken whole). The rows below the lower one are only counted;
+    the few values in between are summed up by value and ranked. ``by`` must have few distinct values (a field and a metric):
     its brackets are broadcast, at most one row per group and probability.
     """
     margin = 2.0 / ACCURACY
@@ -26,6 +26,7 @@ def exact_quantiles(values: DataFrame, by: list[str], probabilities: list[float]
         F.percentile_approx("value", lows, ACCURACY).alias("lows"),
         F.percentile_approx("value", highs, ACCURACY).alias("highs"),
     )
+    small = F.col("n") < 2 * ACCURACY
     brackets = sketch.select(
         *by,
         "n",
@@ -35,8 +36,12 @@ def exact_quantiles(values: DataFrame, by: list[str], probabilities: list[float]
                     F.struct(
                         F.lit(p).alias("probability"),
                         (F.lit(p) * (F.col("n") - 1)).alias("place"),
-                        (F.col("least") if low == 0.0 else F.get("lows", F.lit(i))).alias("low"),
-                        (F.col("most") if high == 1.0 else F.get("highs", F.lit(i))).alias("high"),
+                        F.when(small | (F.lit(low) == 0), F.col("least"))
+                        .otherwise(F.get("lows", F.lit(i)))
+                        .alias("low"),
+                        F.when(small | (F.lit(high) == 1), F.col("most"))
+                        .otherwise(F.get("highs", F.lit(i)))
+                        .alias("high"),
                     )
                     for i, (p, low, high) in enumerate(zip(probabilities, lows, highs))
                 ]

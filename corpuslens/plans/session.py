@@ -20,6 +20,7 @@ def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
     settings = {
         **SETTINGS,
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.shuffle.partitions": str(cores),
         "spark.driver.memory": "12g",
         **conf,

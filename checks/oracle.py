@@ -10,7 +10,7 @@ from checks import tables as t
 from checks.queries import SELECTED_METRICS, SUPPORT, THRESHOLD
 from corpuslens.data.patterns import PATTERN_GROUPS
 from corpuslens.data.tables import EXAMPLES
-from corpuslens.functions.text import FIRST_100_TOKENS, SENTENCE_END, SILENT_E, TOKEN, VOWEL_RUN
+from corpuslens.functions.text import SENTENCE_END, SILENT_E, TOKEN, VOWEL_RUN
 from corpuslens.operators.entities import ENTITIES, NAMED, RULES
 from corpuslens.operators.readability import GRADES, METRICS
 
@@ -34,6 +34,7 @@ def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
+FIRST_100_TOKENS = r"^(?:[^\p{L}]*\p{L}+){100}"
 PAIRS = """pairs AS (
   SELECT u.conv_id * 1000000 + u.turn AS row_id, s.text AS instruction,
          u.text AS prompt, a.text AS response

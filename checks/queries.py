@@ -370,7 +370,10 @@ DOCUMENT = "doc_id bigint, text string, lang string, source string, n_chars bigi
 
 
 def document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = incremental.read_stream(spark, f"{sf_dir}/documents*.parquet", DOCUMENT)
+    cores = spark.sparkContext.defaultParallelism
+    stream = incremental.read_stream(
+        spark, f"{sf_dir}/documents*.parquet", DOCUMENT, partitions=cores
+    )
     return stream.select(F.col("doc_id").alias("row_id"), F.lit("document").alias("field"), "text")
 
 

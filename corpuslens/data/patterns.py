@@ -1,5 +1,9 @@
 """The default pattern groups."""
 
+# Groups that match only where there is a digit, and what the others need at least.
+DIGIT_FREE = {"email address", "mailing address - BR"}
+NEEDED_TEXT = {"email address": "@"}
+
 # Name and regular expression of each group, in the order in which they apply.
 PATTERN_GROUPS = [
     (

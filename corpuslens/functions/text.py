@@ -10,7 +10,8 @@ SENTENCE_END = r"[.!?]+(\s|$)"
 VOWELS = "aeiouyàáâãäåæèéêëìíîïòóôõöøœùúûüýÿ"
 VOWEL_RUN = f"[{VOWELS}]+"
 SILENT_E = f"[^{VOWELS}l]e$"
-FIRST_100_TOKENS = r"^(?:[^\p{L}]*\p{L}+){100}"
+# Possessive, since a text with fewer tokens would otherwise be tried in countless ways.
+FIRST_100_TOKENS = r"^(?:[^\p{L}]*+\p{L}++){100}"
 
 
 def tokens(text: Column) -> Column:
@@ -22,13 +23,17 @@ def sentence_count(text: Column) -> Column:
 
 
 def syllables(token: Column) -> Column:
+    """Vowel runs without a silent final e, at least one."""
     runs = F.regexp_count(token, F.lit(VOWEL_RUN))
-    silent = F.when((runs > 1) & token.rlike(SILENT_E), 1).otherwise(0)
+    silent = F.when(token.endswith("e") & token.rlike(SILENT_E), 1).otherwise(0)
     return F.greatest(runs - silent, F.lit(1))
 
 
 def shingles(token_array: Column, width: int = 3) -> Column:
-    """Distinct runs of ``width`` neighbouring tokens; an empty array when there are too few."""
+    """Distinct runs of ``width`` neighbouring tokens; an empty array when there are too few.
+
+    ``token_array`` must be a stored column: an expression would be evaluated for every run.
+    """
     starts = F.sequence(F.lit(0), F.size(token_array) - width)
     runs = F.transform(
         starts,

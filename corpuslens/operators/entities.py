@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -29,12 +30,16 @@ CATALOGUE = {
 
 @dataclass(frozen=True)
 class Rule:
-    """A shape, the confidence in it, and what else must hold."""
+    """A shape, the confidence in it, and what else must hold.
+
+    ``needs`` are strings of which a text must contain one; without any, it must hold a digit.
+    """
 
     expression: str
     score: float
     check: Callable[[Column], Column] | None = None
     context: str | None = None
+    needs: tuple[str, ...] = ()
 
 
 # ASCII digits only, and no look-around, so that the shapes mean the same in any engine.
@@ -56,8 +61,10 @@ RULES = {
         SHAPE,
     ),
     "MEDICAL_LICENSE": Rule(r"\b[A-Z]{2}[0-9]{7}\b", VALID, checksums.medical_license),
-    "EMAIL_ADDRESS": Rule(r"[A-Za-z0-9._+\-\']+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", SHAPE),
-    "URL": Rule(r"\bhttps?://[^\s<>\"']+|\bwww\.[^\s<>\"']+", SHAPE),
+    "EMAIL_ADDRESS": Rule(r"[A-Za-z0-9._+\-\']+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", SHAPE, needs=("@",)),
+    "URL": Rule(
+        r"\bhttps?://[^\s<>\"']+|\bwww\.[^\s<>\"']+", SHAPE, needs=("http://", "https://", "www.")
+    ),
     "CRYPTO": Rule(r"\b(?:bc1[a-z0-9]{25,59}|[13][1-9A-HJ-NP-Za-km-z]{25,34})\b", WEAK),
     "UK_NHS": Rule(r"\b[0-9]{3}[ -]?[0-9]{3}[ -]?[0-9]{4}\b", VALID, checksums.uk_nhs),
     "CREDIT_CARD": Rule(r"\b(?:[0-9][ -]?){12,18}[0-9]\b", VALID, checksums.luhn),
@@ -67,11 +74,11 @@ RULES = {
     "US_BANK_NUMBER": Rule(r"\b[0-9]{8,17}\b", WEAK, context="(?i)account|bank"),
     "IBAN_CODE": Rule(r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b", VALID, checksums.iban),
     "IP_ADDRESS": Rule(
-        rf"\b(?:{_OCTET}\.){{3}}{_OCTET}\b|\b(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}\b", SHAPE
+        rf"\b(?:{_OCTET}\.){{3}}{_OCTET}\b|\b(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}\b",
+        SHAPE,
+        needs=(":", "0.", "1.", "2.", "3.", "4.", "5.", "6.", "7.", "8.", "9."),
     ),
 }
-# Shapes that may hold no digit; all others are skipped for a text without one.
-_WITHOUT_DIGITS = {"EMAIL_ADDRESS", "URL", "IP_ADDRESS"}
 NAMED = ("ORGANIZATION", "PERSON", "LOCATION")
 # BAN_CODE can be selected, has no known definition, and so finds nothing.
 ENTITIES = list(dict.fromkeys(e for group in CATALOGUE.values() for e in group))
@@ -97,16 +104,19 @@ def _found_by(entity: str, text: Column) -> Column:
             F.lit(entity).alias("entity"), m.alias("text"), F.lit(rule.score).alias("score")
         ),
     )
+    conditions = [text.contains(s) for s in rule.needs]
     if rule.context:
-        described = F.when(text.rlike(rule.context), described).otherwise(F.lit(None))
+        conditions = [text.rlike(rule.context)]
+    if conditions:
+        described = F.when(reduce(Column.__or__, conditions), described)
     return F.coalesce(described, F.array().cast(FINDING))
 
 
 def shape_entities(text: Column, selected: list[str] | None = None) -> Column:
     """The findings by shape as an array, in catalogue order; only selected rules are run."""
     rules = [e for e in select_entities(selected) if e in RULES]
-    free = [_found_by(e, text) for e in rules if e in _WITHOUT_DIGITS]
-    numeric = [_found_by(e, text) for e in rules if e not in _WITHOUT_DIGITS]
+    free = [_found_by(e, text) for e in rules if RULES[e].needs]
+    numeric = [_found_by(e, text) for e in rules if not RULES[e].needs]
     none = F.array().cast(FINDING)
     with_digit = F.when(text.rlike("[0-9]"), F.concat(none, *numeric)).otherwise(none)
     return F.concat(none, *free, with_digit)

@@ -59,6 +59,12 @@ def _at_least(syllable_array: Column, n: int) -> Column:
     return F.size(F.filter(syllable_array, lambda s: s >= n))
 
 
+def _is_not_one_of(words: list[str]) -> str:
+    """A condition on ``w``. Spark keeps so long a list as one hash set, looked up per word."""
+    escaped = (w.replace("\\", "\\\\").replace("'", "\\'") for w in words)
+    return "w NOT IN (" + ", ".join(f"'{w}'" for w in escaped) + ")" if words else "true"
+
+
 def text_counts(df: DataFrame, keep: list[str], common: DataFrame, text: str = "text") -> DataFrame:
     """The base counts of a text: words, sentences, syllables and so on; null for no text.
 
@@ -94,7 +100,7 @@ def text_counts(df: DataFrame, keep: list[str], common: DataFrame, text: str = "
         F.when(n_words <= 100, sentences).otherwise(sentence_count(start)).alias("first_sentences"),
         F.array_distinct(F.transform(several, lambda x: x["_tokens"])).alias("_hard"),
     )
-    difficult = F.size(F.filter("_hard", lambda w: ~w.isin(words)))
+    difficult = F.expr(f"size(filter(_hard, w -> {_is_not_one_of(words)}))")
     given_only = [
         F.when(F.col("words").isNotNull(), F.col(c)).alias(c)
         for c in counted.columns

@@ -151,14 +151,16 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def _unit(vector: Column) -> Column:
-    length = F.sqrt(_dot(vector, vector))
-    return F.when(length > 0, F.transform(vector, lambda x: x / length))
+def with_length(df: DataFrame, keep: list[str], vector: str = "embedding") -> DataFrame:
+    """(keep, v, length): the vector in doubles and its length, null for a zero vector."""
+    doubles = df.select(*keep, _as_doubles(F.col(vector)).alias("v"))
+    length = F.sqrt(_dot(F.col("v"), F.col("v")))
+    return doubles.select(*keep, "v", F.nullif(length, F.lit(0.0)).alias("length"))
 
 
 def unit_vectors(df: DataFrame, keep: list[str], vector: str = "embedding") -> DataFrame:
-    doubles = df.select(*keep, _as_doubles(F.col(vector)).alias("_v"))
-    return doubles.select(*keep, _unit(F.col("_v")).alias("unit"))
+    unit = F.transform("v", lambda x: x / F.col("length"))
+    return with_length(df, keep, vector).where("length is not null").select(*keep, unit.alias("unit"))
 
 
 def dense_similarity(
@@ -177,10 +179,10 @@ def dense_similarity(
     known = materialize(unit_vectors(examples, ["group", "example_id"], vector))
     counts = known.where(F.col("group").isin(*groups)).groupBy("group").agg(F.count("unit"))
     sizes = dict(counts.collect())
-    result = unit_vectors(vectors, keys, vector)
+    result = with_length(vectors, keys, vector)
     for group in groups:
         blocks = max(1, ceil(sizes.get(group, 0) / per_block))
-        in_group = known.where((F.col("group") == group) & F.col("unit").isNotNull())
+        in_group = known.where(F.col("group") == group)
         block = F.pmod(F.xxhash64("example_id"), F.lit(blocks))
         result = result.withColumns(
             {
@@ -189,10 +191,11 @@ def dense_similarity(
             }
         )
         best = [
-            F.array_max(F.transform(f"_{group}_{b}", lambda example: _dot(F.col("unit"), example)))
+            F.array_max(F.transform(f"_{group}_{b}", lambda example: _dot(F.col("v"), example)))
             for b in range(blocks)
         ]
-        result = result.withColumn(group, best[0] if blocks == 1 else F.greatest(*best))
+        largest = best[0] if blocks == 1 else F.greatest(*best)
+        result = result.withColumn(group, largest / F.col("length"))
     return result.select(*keys, *groups)
 
 
@@ -210,8 +213,8 @@ def lsh_similarity(
     Approximate: only examples that share a bucket are compared, so a score can be too low and a
     vector without any neighbour is absent. On unit vectors the cosine is 1 - distance² / 2.
     """
-    left = unit_vectors(vectors, keys, vector).where("unit is not null")
-    right = unit_vectors(examples, ["group", "example_id"], vector).where("unit is not null")
+    left = unit_vectors(vectors, keys, vector)
+    right = unit_vectors(examples, ["group", "example_id"], vector)
     left = left.select(*keys, array_to_vector("unit").alias("features"))
     right = right.select("group", "example_id", array_to_vector("unit").alias("features"))
     model = BucketedRandomProjectionLSH(

@@ -40,8 +40,11 @@ def closest_topic(
     norm = F.sqrt(
         F.aggregate("terms", F.lit(0.0), lambda total, x: total + x["tf"] * x["tf"].cast("double"))
     )
-    terms = counted.select(*group, norm.alias("norm"), F.explode_outer("terms").alias("x")).select(
-        *group, "norm", "x.token", "x.tf"
+    # The norm is computed before the explode: beside it, the terms would follow every term.
+    terms = (
+        counted.select(*group, norm.alias("norm"), "terms")
+        .select(*group, "norm", F.explode_outer("terms").alias("x"))
+        .select(*group, "norm", "x.token", "x.tf")
     )
     hits = lookup_join(terms, topics, ["token"], "left", group)
     sums = hits.groupBy(*group).agg(

@@ -52,12 +52,14 @@ def score_toxicity(long: DataFrame, keys: list[str], lexicon: DataFrame) -> Data
     broadcast is chosen.
     """
     group = [*keys, "field", "has_text"]
-    words = long.select(
+    # Computed before the explode: beside it, the text would be copied along with every token.
+    present = long.select(
         *keys,
         "field",
         F.col("text").isNotNull().alias("has_text"),
-        F.explode_outer(F.array_distinct(tokens(F.col("text")))).alias("token"),
+        F.array_distinct(tokens(F.col("text"))).alias("present"),
     )
+    words = present.select(*group, F.explode_outer("present").alias("token"))
     hits = lookup_join(words, materialize(lexicon), ["token"], "left", group)
     evidence = F.col("evidence") + F.col("prior")
     return (

@@ -17,12 +17,21 @@ from corpuslens.operators.summary import score_summary
 
 
 def read_stream(
-    spark: SparkSession, path: str, schema: str, files_per_trigger: int | None = None
+    spark: SparkSession,
+    path: str,
+    schema: str,
+    files_per_trigger: int | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
+    """New parquet files under a folder or glob.
+
+    Give ``partitions`` where batches are a few files, whose texts few tasks would score.
+    """
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path)
+    rows = reader.parquet(path)
+    return rows.repartition(partitions) if partitions else rows
 
 
 def stateless_scores(long: DataFrame, keys: list[str], common: DataFrame) -> DataFrame:

@@ -315,7 +315,7 @@ def topic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topic_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.top_label(_topics(spark, sf_dir, t.TOPICS), KEYS, "topic")
+    return summary.top_label(_topics(spark, sf_dir, t.TOPICS), KEYS, "topic", t.FIELDS[:-1])
 
 
 def pattern_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,7 +323,7 @@ def pattern_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pattern_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.top_label(pattern_label(spark, sf_dir), KEYS, "pattern")
+    return summary.top_label(pattern_label(spark, sf_dir), KEYS, "pattern", t.FIELDS)
 
 
 def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -335,15 +335,11 @@ def shape_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_counts_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.entity_counts_filled(
-        shape_findings(spark, sf_dir), t.corpus_with_inline(spark, sf_dir)
-    )
+    return summary.entity_counts_filled(shape_findings(spark, sf_dir), t.FIELDS)
 
 
 def pii_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.top_entities(
-        shape_findings(spark, sf_dir), t.corpus_with_inline(spark, sf_dir), KEYS
-    )
+    return summary.top_entities(shape_findings(spark, sf_dir), KEYS, t.FIELDS)
 
 
 # Views

@@ -15,6 +15,7 @@ from corpuslens.plans.session import spread
 from corpuslens.sources.conversations import conversation_pairs
 
 KEYS = ["row_id"]
+FIELDS = ["prompt", "response", "document", "inline"]
 
 WEIGHTS = {
     "that": 1.5, "with": 0.8, "this": 2.1, "que": 1.2, "und": 0.6, "from": -0.9, "was": -1.4,

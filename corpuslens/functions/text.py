@@ -29,17 +29,17 @@ def syllables(token: Column) -> Column:
     return F.greatest(runs - silent, F.lit(1))
 
 
-def shingles(token_array: Column, width: int = 3) -> Column:
-    """Distinct runs of ``width`` neighbouring tokens; an empty array when there are too few.
+def runs(token_array: Column, width: int = 3) -> Column:
+    """Runs of ``width`` neighbouring tokens; an empty array when there are too few.
 
     ``token_array`` must be a stored column: an expression would be evaluated for every run.
     """
     starts = F.sequence(F.lit(0), F.size(token_array) - width)
-    runs = F.transform(
+    joined = F.transform(
         starts,
         lambda i: F.concat_ws(" ", *[F.get(token_array, i + k) for k in range(width)]),
     )
-    return F.when(F.size(token_array) >= width, F.array_distinct(runs)).otherwise(
+    return F.when(F.size(token_array) >= width, joined).otherwise(
         F.array().cast("array<string>")
     )
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpuslens.functions import checksums
 from corpuslens.functions.text import explode_rows, tokens
 from corpuslens.operators.longform import FIELDS
-from corpuslens.plans.lookups import lookup_join
+from corpuslens.plans.lookups import known_words, lookup_join, one_of
 
 VALID, SHAPE, WEAK = 1.0, 0.85, 0.4
 
@@ -127,8 +127,8 @@ def named_entities(
 ) -> DataFrame:
     """(keys, field, entity, text, score): names of one to three words found in the token order.
 
-    Tokens carry their two successors and meet the table on the first word of a name, so a text
-    is exploded once whatever the length of the names.
+    First words of names leave the token array with their two successors and meet the table, so
+    a text is exploded once whatever the length of the names.
     """
     wanted = [e for e in select_entities(selected) if e in NAMED]
     parts = tokens(F.col("name"))
@@ -141,13 +141,18 @@ def named_entities(
     )
     group = [*keys, "field"]
     split = long.select(*group, tokens(F.col("text")).alias("t"))
+    known = one_of("t[i]", known_words(lookup, "name0"))
+    places = F.expr(f"CASE WHEN size(t) > 0 THEN filter(sequence(0, size(t) - 1), i -> {known}) END")
     with_next = F.transform(
-        "t",
-        lambda token, i: F.struct(
-            token.alias("name0"), F.get("t", i + 1).alias("next1"), F.get("t", i + 2).alias("next2")
+        "places",
+        lambda i: F.struct(
+            F.get("t", i).alias("name0"),
+            F.get("t", i + 1).alias("next1"),
+            F.get("t", i + 2).alias("next2"),
         ),
     )
-    words = explode_rows(split, group, with_next, "w").select(*group, "w.*")
+    placed = split.select(*group, "t", places.alias("places"))
+    words = explode_rows(placed, group, with_next, "w").select(*group, "w.*")
     met = lookup_join(words, lookup, ["name0"], "inner", group)
     whole = (F.col("name1").isNull() | (F.col("name1") == F.col("next1"))) & (
         F.col("name2").isNull() | (F.col("name2") == F.col("next2"))

@@ -12,6 +12,7 @@ from corpuslens.functions.text import (
     tokens,
 )
 from corpuslens.operators.longform import FIELDS
+from corpuslens.plans.lookups import one_of
 
 # Names and order of the statistics.
 METRICS = [
@@ -59,23 +60,23 @@ def _at_least(syllable_array: Column, n: int) -> Column:
     return F.size(F.filter(syllable_array, lambda s: s >= n))
 
 
-def _is_not_one_of(words: list[str]) -> str:
-    """A condition on ``w``. Spark keeps so long a list as one hash set, looked up per word."""
-    escaped = (w.replace("\\", "\\\\").replace("'", "\\'") for w in words)
-    return "w NOT IN (" + ", ".join(f"'{w}'" for w in escaped) + ")" if words else "true"
+def word_list(common: DataFrame) -> list[str]:
+    """The words of a common-word table, of which there are at most ``COMMON_WORDS``."""
+    rows = common.select("token").take(COMMON_WORDS + 1)
+    if len(rows) > COMMON_WORDS:
+        raise ValueError(f"a common-word table holds at most {COMMON_WORDS} words")
+    return sorted(r["token"] for r in rows)
 
 
-def text_counts(df: DataFrame, keep: list[str], common: DataFrame, text: str = "text") -> DataFrame:
+def text_counts(
+    df: DataFrame, keep: list[str], common: DataFrame | list[str], text: str = "text"
+) -> DataFrame:
     """The base counts of a text: words, sentences, syllables and so on; null for no text.
 
-    ``common`` holds the common words, at most ``COMMON_WORDS`` of them. They become a set
-    in the plan, so difficult words are counted where the text is, without a join or a shuffle.
+    The common words become a set in the plan, so difficult words are counted where the text is,
+    without a join or a shuffle. Give them as a list to use them again without finding them again.
     """
-    rows = common.select("token").take(COMMON_WORDS + 1)
-    if len(rows) > COMMON_WORDS:
-        raise ValueError(f"a common-word table holds at most {COMMON_WORDS} words")
-    words = sorted(r["token"] for r in rows)
-
+    words = common if isinstance(common, list) else word_list(common)
     given = F.when(F.length(text) > 0, F.col(text))
     base = df.select(*keep, given.alias("_text")).select(
         *keep, "_text", tokens(F.col("_text")).alias("_tokens")
@@ -100,7 +101,7 @@ def text_counts(df: DataFrame, keep: list[str], common: DataFrame, text: str = "
         F.when(n_words <= 100, sentences).otherwise(sentence_count(start)).alias("first_sentences"),
         F.array_distinct(F.transform(several, lambda x: x["_tokens"])).alias("_hard"),
     )
-    difficult = F.expr(f"size(filter(_hard, w -> {_is_not_one_of(words)}))")
+    difficult = F.expr(f"size(filter(_hard, w -> NOT ({one_of('w', words)})))")
     given_only = [
         F.when(F.col("words").isNotNull(), F.col(c)).alias(c)
         for c in counted.columns
@@ -163,7 +164,9 @@ def statistics(counts: DataFrame, keep: list[str]) -> DataFrame:
     return scored.withColumn("Text Standard", standard).select(*keep, *METRICS)
 
 
-def score_readability(long: DataFrame, keys: list[str], common: DataFrame) -> DataFrame:
+def score_readability(
+    long: DataFrame, keys: list[str], common: DataFrame | list[str]
+) -> DataFrame:
     """(keys, field, sixteen statistics), without a shuffle."""
     keep = [*keys, "field"]
     return statistics(text_counts(long, keep, common), keep)
@@ -183,10 +186,10 @@ def analyze_readability(pairs: DataFrame, common: DataFrame) -> DataFrame:
 
     Both sides come from the same row, so nothing is joined.
     """
-    result = pairs
+    result, words = pairs, word_list(common)
     for field in FIELDS:
         before = result.columns
-        counted = text_counts(result, before, common, text=field)
+        counted = text_counts(result, before, words, text=field)
         named = {m: f"{field.capitalize()} {m}" for m in METRICS}
         result = statistics(counted, before).withColumnsRenamed(named)
     return result

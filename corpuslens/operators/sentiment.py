@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpuslens.functions.text import tokens
 from corpuslens.operators.longform import FIELDS, attach, to_long, widen
-from corpuslens.plans.lookups import fits_broadcast, lookup_join
+from corpuslens.plans.lookups import fits_broadcast, known_words, lookup_join, one_of
 
 # Fixed values of the rule.
 BOOST_BY_DISTANCE = {1: 1.0, 2: 0.95, 3: 0.9}
@@ -21,27 +21,29 @@ def score_sentiment(long: DataFrame, keys: list[str], lexicon: DataFrame) -> Dat
     """(keys, field, sentiment) from texts and a lexicon (token, weight, boost, negates).
 
     Each word carries its three predecessors out of the token array, so no window over the
-    corpus is needed. The lexicon is broadcast; the words of a text collapse to one partial sum
-    before the only shuffle.
+    corpus is needed. Only words of the lexicon leave the array; the lexicon is broadcast, and
+    the words of a text collapse to one partial sum before the only shuffle.
     """
     group = [*keys, "field", "has_text"]
     found = tokens(F.col("text"))
     split = long.select(*keys, "field", F.col("text").isNotNull().alias("has_text"), found.alias("t"))
-    words = split.select(
-        *group,
-        F.explode_outer(
-            F.transform(
-                "t",
-                lambda token, i: F.struct(
-                    token.alias("token"),
-                    *[F.get("t", i - d).alias(f"before{d}") for d in BOOST_BY_DISTANCE],
-                ),
-            )
-        ).alias("word"),
-    ).select(*group, "word.*")
-
     broadcast = fits_broadcast(lexicon)
     weights = lexicon.where("weight is not null").select("token", "weight")
+    weighted = one_of("t[i]", known_words(weights, "token"))
+    places = F.expr(f"CASE WHEN size(t) > 0 THEN filter(sequence(0, size(t) - 1), i -> {weighted}) END")
+    word = F.transform(
+        "places",
+        lambda i: F.struct(
+            F.get("t", i).alias("token"),
+            *[F.get("t", i - d).alias(f"before{d}") for d in BOOST_BY_DISTANCE],
+        ),
+    )
+    words = (
+        split.select(*group, "t", places.alias("places"))
+        .select(*group, F.explode_outer(word).alias("word"))
+        .select(*group, "word.*")
+    )
+
     modifiers = lexicon.where("boost <> 0 or negates").select("token", "boost", "negates")
     scored = lookup_join(words, weights, ["token"], "left", group, broadcast)
     for d in BOOST_BY_DISTANCE:

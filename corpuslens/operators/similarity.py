@@ -13,9 +13,9 @@ from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpuslens.functions.text import explode_rows, shingles, tokens, with_term_counts
+from corpuslens.functions.text import explode_rows, runs, tokens, with_term_counts
 from corpuslens.operators.longform import attach, to_long, widen
-from corpuslens.plans.lookups import lookup_join
+from corpuslens.plans.lookups import known_words, lookup_join, one_of
 from corpuslens.plans.session import materialize
 
 WIDTH = 3
@@ -63,7 +63,7 @@ def shingle_similarity(
         "group", "example_id", tokens(F.col("text")).alias("t")
     )
     example_shingles = example_tokens.select(
-        "group", "example_id", shingles(F.col("t"), WIDTH).alias("parts")
+        "group", "example_id", F.array_distinct(runs(F.col("t"), WIDTH)).alias("parts")
     )
     lookup = explode_rows(
         example_shingles.withColumn("size", F.size("parts")),
@@ -71,12 +71,16 @@ def shingle_similarity(
         F.col("parts"),
         "shingle",
     )
+    lookup = materialize(lookup)
+    known = F.expr(f"filter(parts, s -> {one_of('s', known_words(lookup, 'shingle'))})")
     text_tokens = long.select(
         *keys, "field", F.col("text").isNotNull().alias("has_text"), tokens(F.col("text")).alias("t")
     )
-    found = text_tokens.select(*row, F.explode_outer(shingles(F.col("t"), WIDTH)).alias("shingle"))
+    found = text_tokens.select(*row, runs(F.col("t"), WIDTH).alias("parts")).select(
+        *row, F.explode_outer(F.array_distinct(known)).alias("shingle")
+    )
     shared = (
-        lookup_join(found, materialize(lookup), ["shingle"], "left", row)
+        lookup_join(found, lookup, ["shingle"], "left", row)
         .groupBy(*row, "group", "example_id", "size")
         .agg(F.count("example_id").alias("shared"))
     )
@@ -96,7 +100,9 @@ def example_weights(examples: DataFrame) -> DataFrame:
     """
     example = ["group", "example_id"]
     counted = with_term_counts(distinct_examples(examples), example)
-    terms = explode_rows(counted, example, F.col("terms"), "x").select(*example, "x.token", "x.tf")
+    terms = materialize(
+        explode_rows(counted, example, F.col("terms"), "x").select(*example, "x.token", "x.tf")
+    )
     total = terms.select("group", "example_id").distinct().agg(F.count(F.lit(1))).scalar()
     idf = (
         terms.groupBy("token")
@@ -120,13 +126,15 @@ def tfidf_similarity(
 ) -> DataFrame:
     """(keys, field, one column per group): cosine of TF-IDF vectors through an inverted index."""
     row = [*keys, "field", "has_text"]
+    weights = materialize(example_weights(examples))
+    known = F.expr(f"filter(terms, x -> {one_of('x.token', known_words(weights, 'token'))})")
     with_flag = long.withColumn("has_text", F.col("text").isNotNull())
     terms = (
         with_term_counts(with_flag, row)
-        .select(*row, F.explode_outer("terms").alias("x"))
+        .select(*row, F.explode_outer(known).alias("x"))
         .select(*row, "x.token", "x.tf")
     )
-    hits = lookup_join(terms, materialize(example_weights(examples)), ["token"], "left", row)
+    hits = lookup_join(terms, weights, ["token"], "left", row)
     own = F.col("tf") * F.col("idf")
     products = hits.groupBy(*row, "group", "example_id").agg(
         F.sum(own * F.coalesce(F.col("weight"), own)).alias("product")

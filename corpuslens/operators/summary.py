@@ -7,8 +7,12 @@ are safe to broadcast; everything else is pre-aggregated before it is shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Sequence
 
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from corpuslens.data.tables import small_table
+from corpuslens.operators.longform import FIELDS
 from corpuslens.plans.quantiles import exact_quantiles
 
 BY = ["field", "metric"]
@@ -118,7 +122,18 @@ def label_counts(labels: DataFrame, label: str) -> DataFrame:
     return labels.groupBy("field", label).agg(F.count(F.lit(1)).alias("n"))
 
 
-def top_label(labels: DataFrame, keys: list[str], label: str, missing: str = "None") -> DataFrame:
+def _every_field(spark: SparkSession, fields: Sequence[str], found: DataFrame) -> DataFrame:
+    """A row for each field, which the caller names, so that no text is read to find them."""
+    return small_table(spark, ["field"], [(f,) for f in fields]).join(found, "field", "left")
+
+
+def top_label(
+    labels: DataFrame,
+    keys: list[str],
+    label: str,
+    fields: Sequence[str] = FIELDS,
+    missing: str = "None",
+) -> DataFrame:
     """(field, label, n): the most frequent non-null label per field, the first seen on a tie.
 
     Labels are counted first, so the choice is among one row per label.
@@ -132,30 +147,28 @@ def top_label(labels: DataFrame, keys: list[str], label: str, missing: str = "No
         F.min(F.struct((-F.col("n")).alias("order"), "first", label)).alias("best")
     )
     found = best.select("field", F.col(f"best.{label}").alias(label), (-F.col("best.order")).alias("n"))
-    return _every_field(labels, found).select(
+    return _every_field(labels.sparkSession, fields, found).select(
         "field", F.coalesce(label, F.lit(missing)).alias(label), F.coalesce("n", F.lit(0)).alias("n")
     )
 
 
-def _every_field(rows: DataFrame, found: DataFrame) -> DataFrame:
-    return rows.select("field").distinct().join(found, "field", "left")
-
-
 def entity_counts(entities: DataFrame) -> DataFrame:
     """(field, entity, n): occurrences, not texts."""
     return label_counts(entities, "entity")
 
 
-def entity_counts_filled(entities: DataFrame, long: DataFrame) -> DataFrame:
+def entity_counts_filled(entities: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
     """As ``entity_counts``, with the row ("No Entities", 0) for a field without any."""
-    return _every_field(long, entity_counts(entities)).select(
+    return _every_field(entities.sparkSession, fields, entity_counts(entities)).select(
         "field",
         F.coalesce("entity", F.lit("No Entities")).alias("entity"),
         F.coalesce("n", F.lit(0)).alias("n"),
     )
 
 
-def top_entities(entities: DataFrame, long: DataFrame, keys: list[str]) -> DataFrame:
+def top_entities(
+    entities: DataFrame, keys: list[str], fields: Sequence[str] = FIELDS
+) -> DataFrame:
     """(field, entities, n): all entities with the highest count, in the order first seen."""
     counts = entities.groupBy("field", "entity").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct(*keys, "pos")).alias("first")
@@ -173,7 +186,7 @@ def top_entities(entities: DataFrame, long: DataFrame, keys: list[str]) -> DataF
         ).alias("entities"),
         F.max("n").alias("n"),
     )
-    return _every_field(long, listed).select(
+    return _every_field(entities.sparkSession, fields, listed).select(
         "field",
         F.coalesce("entities", F.lit("None")).alias("entities"),
         F.coalesce("n", F.lit(0)).alias("n"),

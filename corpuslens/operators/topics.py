@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import IDF, CountVectorizer
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -10,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from corpuslens.data.tables import TOPIC_WORDS, small_table
 from corpuslens.functions.text import tokens, with_term_counts
 from corpuslens.operators.longform import FIELDS, attach, to_long, widen
-from corpuslens.plans.lookups import lookup_join
+from corpuslens.plans.lookups import known_words, lookup_join, one_of
+from corpuslens.plans.session import materialize
 
 
 def topic_table(spark: SparkSession, names: str | None = None) -> DataFrame:
@@ -41,8 +41,9 @@ def closest_topic(
         F.aggregate("terms", F.lit(0.0), lambda total, x: total + x["tf"] * x["tf"].cast("double"))
     )
     # The norm is computed before the explode: beside it, the terms would follow every term.
+    known = F.expr(f"filter(terms, x -> {one_of('x.token', known_words(topics, 'token'))})")
     terms = (
-        counted.select(*group, norm.alias("norm"), "terms")
+        counted.select(*group, norm.alias("norm"), known.alias("terms"))
         .select(*group, "norm", F.explode_outer("terms").alias("x"))
         .select(*group, "norm", "x.token", "x.tf")
     )
@@ -87,17 +88,20 @@ def discover_topics(
     iterations: int = 10,
     seed: int = 42,
 ) -> DataFrame:
-    """(topic, rank, token, weight): the leading words of the topics found by LDA."""
-    words = long.select(tokens(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
+    """(topic, rank, token, weight): the leading words of the topics found by LDA.
+
+    The term counts are stored once, so that the iterations read vectors and not texts.
+    """
+    words = long.select(tokens(F.col("text")).alias("tokens"))
     counts = CountVectorizer(
         inputCol="tokens", outputCol="tf", vocabSize=vocabulary, minDF=min_documents
-    )
-    weighted = IDF(inputCol="tf", outputCol="features")
-    lda = LDA(k=n_topics, maxIter=iterations, seed=seed, optimizer="online")
-    fitted = Pipeline(stages=[counts, weighted, lda]).fit(words)
-    names = fitted.stages[0].vocabulary
-    index = small_table(long.sparkSession, ["term", "token"], list(enumerate(names)))
-    described = fitted.stages[2].describeTopics(n_terms).select(
+    ).fit(words.where("tokens is not null"))
+    vectors = materialize(counts.transform(words.where("tokens is not null")).select("tf"))
+    weighted = IDF(inputCol="tf", outputCol="features").fit(vectors).transform(vectors)
+    lda = LDA(k=n_topics, maxIter=iterations, seed=seed, optimizer="online").fit(weighted)
+    names = list(enumerate(counts.vocabulary))
+    index = small_table(long.sparkSession, ["term", "token"], names)
+    described = lda.describeTopics(n_terms).select(
         "topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "x")
     )
     return described.join(

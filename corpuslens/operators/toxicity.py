@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpuslens.functions.text import explode_rows, tokens
 from corpuslens.operators.longform import FIELDS, attach, to_long, widen
-from corpuslens.plans.lookups import lookup_join
+from corpuslens.plans.lookups import known_words, lookup_join, one_of
 from corpuslens.plans.session import materialize
 
 
@@ -52,15 +52,16 @@ def score_toxicity(long: DataFrame, keys: list[str], lexicon: DataFrame) -> Data
     broadcast is chosen.
     """
     group = [*keys, "field", "has_text"]
+    lexicon = materialize(lexicon)
+    known = one_of("w", known_words(lexicon, "token"))
     # Computed before the explode: beside it, the text would be copied along with every token.
-    present = long.select(
-        *keys,
-        "field",
-        F.col("text").isNotNull().alias("has_text"),
-        F.array_distinct(tokens(F.col("text"))).alias("present"),
+    split = long.select(
+        *keys, "field", F.col("text").isNotNull().alias("has_text"), tokens(F.col("text")).alias("t")
     )
-    words = present.select(*group, F.explode_outer("present").alias("token"))
-    hits = lookup_join(words, materialize(lexicon), ["token"], "left", group)
+    words = split.select(
+        *group, F.explode_outer(F.expr(f"array_distinct(filter(t, w -> {known}))")).alias("token")
+    )
+    hits = lookup_join(words, lexicon, ["token"], "left", group)
     evidence = F.col("evidence") + F.col("prior")
     return (
         hits.groupBy(*group)

@@ -4,11 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+MAX_PLAN_WORDS = 10_000
 MAX_BROADCAST_ROWS = 500_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 16
 
 
+def known_words(lookup: DataFrame, column: str) -> list[str] | None:
+    """The distinct keys of a lookup table, or None if there are too many to name in a plan."""
+    rows = lookup.select(column).where(F.col(column).isNotNull()).distinct().take(MAX_PLAN_WORDS + 1)
+    return None if len(rows) > MAX_PLAN_WORDS else sorted(r[0] for r in rows)
+
+
+def one_of(value: str, words: list[str] | None) -> str:
+    """SQL condition that ``value`` is a known word; always true where the words are not known.
+
+    Used inside array functions to drop the words of a text that no lookup row can meet, before
+    they are exploded and joined. Spark keeps a long list as a hash set.
+    """
+    if words is None:
+        return "true"
+    if not words:
+        return "false"
+    escaped = (w.replace("\\", "\\\\").replace("'", "\\'") for w in words)
+    return f"{value} IN (" + ", ".join(f"'{w}'" for w in escaped) + ")"
+
+
 def fits_broadcast(
     small: DataFrame,
     max_rows: int = MAX_BROADCAST_ROWS,

@@ -49,15 +49,15 @@ def exact_quantiles(values: DataFrame, by: list[str], probabilities: list[float]
         ).alias("b"),
     ).select(*by, "n", "b.*")
 
-    counts = present.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("count"))
     group = [*by, "probability", "place"]
     inside = F.col("value").between(F.col("low"), F.col("high"))
-    # Values below the bracket collapse to one row, which ranks first and is never the answer.
+    # Values below the bracket collapse to one row per task before the shuffle; that row ranks
+    # first and is never the answer. Values above are dropped where they are read.
     summed = (
-        counts.join(F.broadcast(brackets), by)
+        present.join(F.broadcast(brackets), by)
         .where(F.col("value") <= F.col("high"))
         .groupBy(*group, F.when(inside, F.col("value")).alias("value"))
-        .agg(F.sum("count").alias("count"))
+        .agg(F.count(F.lit(1)).alias("count"))
     )
     ranked = summed.withColumn(
         "upto",

@@ -34,7 +34,7 @@ def read_stream(
     return rows.repartition(partitions) if partitions else rows
 
 
-def stateless_scores(long: DataFrame, keys: list[str], common: DataFrame) -> DataFrame:
+def stateless_scores(long: DataFrame, keys: list[str], common: DataFrame | list[str]) -> DataFrame:
     """(keys, field, pattern, n_entities, sixteen statistics): needs no state, so it appends."""
     marked = long.select(
         *keys,

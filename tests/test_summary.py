@@ -102,15 +102,14 @@ def test_top_label(spark):
     assert rows == {"prompt": ("late", 2), "response": ("None", 0)}
 
 
-def test_entity_summaries(spark, long_of):
-    long = long_of(["x", "y"]).unionByName(long_of(["z"], "response"))
+def test_entity_summaries(spark):
     found = spark.createDataFrame(
         [(0, "prompt", 1, "URL"), (0, "prompt", 0, "EMAIL"), (1, "prompt", 0, "URL"), (1, "prompt", 1, "EMAIL"), (1, "prompt", 2, "IP")],
         "row_id bigint, field string, pos int, entity string",
     )
-    filled = {(r["field"], r["entity"]): r["n"] for r in summary.entity_counts_filled(found, long).collect()}
+    filled = {(r["field"], r["entity"]): r["n"] for r in summary.entity_counts_filled(found).collect()}
     assert filled == {("prompt", "URL"): 2, ("prompt", "EMAIL"): 2, ("prompt", "IP"): 1, ("response", "No Entities"): 0}
-    tops = {r["field"]: (r["entities"], r["n"]) for r in summary.top_entities(found, long, KEYS).collect()}
+    tops = {r["field"]: (r["entities"], r["n"]) for r in summary.top_entities(found, KEYS).collect()}
     assert tops == {"prompt": ("EMAIL, URL", 2), "response": ("None", 0)}
 
 

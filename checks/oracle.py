@@ -127,8 +127,8 @@ SHIPPED = [(g, -1 - i, x) for g, texts in EXAMPLES.items() for i, x in enumerate
 KNOWN = f"""known(grp, example_id, text) AS (
   {values(SHIPPED)}
   UNION ALL SELECT 'injection', item_id, text FROM benchmark
-  UNION ALL SELECT g, conv_id, text FROM conversations, (VALUES ('jailbreak'), ('refusal')) v(g)
-            WHERE role = 'system')"""
+  UNION ALL SELECT 'jailbreak', conv_id, text FROM conversations WHERE role = 'user' AND turn = 1
+  UNION ALL SELECT 'refusal', conv_id, text FROM conversations WHERE role = 'assistant' AND turn = 2)"""
 
 
 def shingle_of(source: str, key: str, name: str) -> str:

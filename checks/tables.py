@@ -119,11 +119,14 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     passages = table(spark, sf_dir, "benchmark").select(
         F.lit("injection").alias("group"), F.col("item_id").alias("example_id"), "text"
     )
-    system = table(spark, sf_dir, "conversations").where(F.col("role") == "system")
-    openings = system.select(
-        F.explode(F.array(F.lit("jailbreak"), F.lit("refusal"))).alias("group"),
-        F.col("conv_id").alias("example_id"),
-        "text",
+    # The exchange after a system turn stands in for known attacks and refusals.
+    group = F.when((F.col("role") == "user") & (F.col("turn") == 1), "jailbreak").when(
+        (F.col("role") == "assistant") & (F.col("turn") == 2), "refusal"
+    )
+    openings = (
+        table(spark, sf_dir, "conversations")
+        .select(group.alias("group"), F.col("conv_id").alias("example_id"), "text")
+        .where(F.col("group").isNotNull())
     )
     shipped = example_table(spark).withColumn("example_id", -1 - F.col("example_id"))
     return shipped.unionByName(passages).unionByName(openings)

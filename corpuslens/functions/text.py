@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from corpuslens.functions.words import one_of
+
 # What counts as a token, a sentence end, a vowel run and a silent final e.
 TOKEN = r"[\p{L}]+"
 SENTENCE_END = r"[.!?]+(\s|$)"
@@ -44,11 +46,14 @@ def runs(token_array: Column, width: int = 3) -> Column:
     )
 
 
-def with_term_counts(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """Add ``terms``: array<struct<token, tf>>, the distinct tokens of the row with their counts.
+def with_term_counts(
+    df: DataFrame, keep: list[str], text: str = "text", words: list[str] | None = None
+) -> DataFrame:
+    """(keep, terms, norm): the distinct tokens of the row as array<struct<token, tf>>.
 
     Sorting the tokens of a row and cutting the sorted array into runs counts them without a
-    shuffle. An empty or null text gives an empty or null array.
+    shuffle. An empty or null text gives an empty or null array. ``norm`` is the length of the
+    vector of all counts; ``terms`` holds only ``words``, where they are given.
     """
     sorted_tokens = df.select(*keep, F.sort_array(tokens(F.col(text))).alias("_sorted"))
     first = F.filter(
@@ -62,14 +67,23 @@ def with_term_counts(df: DataFrame, keep: list[str], text: str = "text") -> Data
         .when(F.col("_sorted").isNotNull(), F.array().cast("array<int>"))
         .alias("_first"),
     )
+    tf = F.transform(
+        "_first", lambda start, i: F.coalesce(F.get("_first", i + 1), F.size("_sorted")) - start
+    )
+    counted = cut.select(*keep, "_sorted", "_first", tf.alias("_tf"))
+    wanted = one_of("_sorted[_first[i]]", words)
     terms = F.transform(
-        "_first",
-        lambda start, i: F.struct(
-            F.get("_sorted", start).alias("token"),
-            (F.coalesce(F.get("_first", i + 1), F.size("_sorted")) - start).alias("tf"),
+        F.expr(
+            "CASE WHEN size(_first) > 0 "
+            f"THEN filter(sequence(0, size(_first) - 1), i -> {wanted}) "
+            "WHEN _first IS NOT NULL THEN CAST(array() AS array<int>) END"
+        ),
+        lambda i: F.struct(
+            F.get("_sorted", F.get("_first", i)).alias("token"), F.get("_tf", i).alias("tf")
         ),
     )
-    return cut.select(*keep, terms.alias("terms"))
+    norm = F.aggregate("_tf", F.lit(0.0), lambda total, n: total + n.cast("double") * n)
+    return counted.select(*keep, terms.alias("terms"), F.sqrt(norm).alias("norm"))
 
 
 def explode_rows(df: DataFrame, keep: list[str], elements: Column, name: str) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corpuslens.functions import checksums
 from corpuslens.functions.text import explode_rows, tokens
+from corpuslens.functions.words import one_of
 from corpuslens.operators.longform import FIELDS
-from corpuslens.plans.lookups import known_words, lookup_join, one_of
+from corpuslens.plans.lookups import known_words, lookup_join
 
 VALID, SHAPE, WEAK = 1.0, 0.85, 0.4
 

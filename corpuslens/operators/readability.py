@@ -11,8 +11,8 @@ from corpuslens.functions.text import (
     syllables,
     tokens,
 )
+from corpuslens.functions.words import one_of
 from corpuslens.operators.longform import FIELDS
-from corpuslens.plans.lookups import one_of
 
 # Names and order of the statistics.
 METRICS = [
@@ -79,18 +79,20 @@ def text_counts(
     words = common if isinstance(common, list) else word_list(common)
     given = F.when(F.length(text) > 0, F.col(text))
     base = df.select(*keep, given.alias("_text")).select(
-        *keep, "_text", tokens(F.col("_text")).alias("_tokens")
+        *keep,
+        "_text",
+        tokens(F.col("_text")).alias("_tokens"),
+        sentence_count(F.col("_text")).alias("_sentences"),
     )
     with_syllables = base.select("*", F.transform("_tokens", syllables).alias("_syl"))
     n_words = F.size("_tokens")
-    sentences = sentence_count(F.col("_text"))
     start = F.regexp_extract("_text", FIRST_100_TOKENS, 0)
     first = F.slice("_syl", 1, 100)
-    several = F.filter(F.arrays_zip("_tokens", "_syl"), lambda x: x["_syl"] >= 2)
+    hard = F.expr(f"filter(_tokens, (w, i) -> _syl[i] >= 2 AND NOT ({one_of('w', words)}))")
     counted = with_syllables.select(
         *keep,
         F.when(F.col("_text").isNotNull(), n_words).alias("words"),
-        sentences.alias("sentences"),
+        F.col("_sentences").alias("sentences"),
         F.aggregate("_syl", F.lit(0), lambda total, s: total + s).alias("syllables"),
         F.length(F.regexp_replace("_text", r"\s", "")).alias("characters"),
         F.aggregate("_tokens", F.lit(0), lambda total, t: total + F.length(t)).alias("letters"),
@@ -98,18 +100,15 @@ def text_counts(
         F.size(F.filter("_syl", lambda s: s == 1)).alias("monosyllables"),
         F.size(first).alias("first_words"),
         _at_least(first, 3).alias("first_hard"),
-        F.when(n_words <= 100, sentences).otherwise(sentence_count(start)).alias("first_sentences"),
-        F.array_distinct(F.transform(several, lambda x: x["_tokens"])).alias("_hard"),
+        F.when(n_words <= 100, F.col("_sentences")).otherwise(sentence_count(start)).alias("first_sentences"),
+        F.size(F.array_distinct(hard)).alias("difficult"),
     )
-    difficult = F.expr(f"size(filter(_hard, w -> NOT ({one_of('w', words)})))")
     given_only = [
         F.when(F.col("words").isNotNull(), F.col(c)).alias(c)
         for c in counted.columns
-        if c not in {*keep, "_hard"}
+        if c not in keep
     ]
-    return counted.select(
-        *keep, *given_only, F.when(F.col("words").isNotNull(), difficult).alias("difficult")
-    )
+    return counted.select(*keep, *given_only)
 
 
 def _text_standard(grades: list[Column]) -> Column:

@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from corpuslens.functions.text import tokens
+from corpuslens.functions.words import one_of
 from corpuslens.operators.longform import FIELDS, attach, to_long, widen
-from corpuslens.plans.lookups import fits_broadcast, known_words, lookup_join, one_of
+from corpuslens.plans.lookups import fits_broadcast, known_words, lookup_join
 
 # Fixed values of the rule.
 BOOST_BY_DISTANCE = {1: 1.0, 2: 0.95, 3: 0.9}

@@ -14,8 +14,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpuslens.functions.text import explode_rows, runs, tokens, with_term_counts
+from corpuslens.functions.words import one_of
 from corpuslens.operators.longform import attach, to_long, widen
-from corpuslens.plans.lookups import known_words, lookup_join, one_of
+from corpuslens.plans.lookups import known_words, lookup_join
 from corpuslens.plans.session import materialize
 
 WIDTH = 3
@@ -127,11 +128,10 @@ def tfidf_similarity(
     """(keys, field, one column per group): cosine of TF-IDF vectors through an inverted index."""
     row = [*keys, "field", "has_text"]
     weights = materialize(example_weights(examples))
-    known = F.expr(f"filter(terms, x -> {one_of('x.token', known_words(weights, 'token'))})")
     with_flag = long.withColumn("has_text", F.col("text").isNotNull())
     terms = (
-        with_term_counts(with_flag, row)
-        .select(*row, F.explode_outer(known).alias("x"))
+        with_term_counts(with_flag, row, words=known_words(weights, "token"))
+        .select(*row, F.explode_outer("terms").alias("x"))
         .select(*row, "x.token", "x.tf")
     )
     hits = lookup_join(terms, weights, ["token"], "left", row)

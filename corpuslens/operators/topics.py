@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from corpuslens.data.tables import TOPIC_WORDS, small_table
 from corpuslens.functions.text import tokens, with_term_counts
 from corpuslens.operators.longform import FIELDS, attach, to_long, widen
-from corpuslens.plans.lookups import known_words, lookup_join, one_of
+from corpuslens.plans.lookups import known_words, lookup_join
 from corpuslens.plans.session import materialize
 
 
@@ -36,15 +36,9 @@ def closest_topic(
     before the only shuffle, and the best topic is picked inside the row.
     """
     group = [*keys, "field"]
-    counted = with_term_counts(long, group)
-    norm = F.sqrt(
-        F.aggregate("terms", F.lit(0.0), lambda total, x: total + x["tf"] * x["tf"].cast("double"))
-    )
-    # The norm is computed before the explode: beside it, the terms would follow every term.
-    known = F.expr(f"filter(terms, x -> {one_of('x.token', known_words(topics, 'token'))})")
+    counted = with_term_counts(long, group, words=known_words(topics, "token"))
     terms = (
-        counted.select(*group, norm.alias("norm"), known.alias("terms"))
-        .select(*group, "norm", F.explode_outer("terms").alias("x"))
+        counted.select(*group, "norm", F.explode_outer("terms").alias("x"))
         .select(*group, "norm", "x.token", "x.tf")
     )
     hits = lookup_join(terms, topics, ["token"], "left", group)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from corpuslens.functions.text import explode_rows, tokens
+from corpuslens.functions.words import one_of
 from corpuslens.operators.longform import FIELDS, attach, to_long, widen
-from corpuslens.plans.lookups import known_words, lookup_join, one_of
+from corpuslens.plans.lookups import known_words, lookup_join
 from corpuslens.plans.session import materialize
 
 

@@ -15,7 +15,7 @@ from corpuslens.operators.toxicity import learn_toxicity, score_toxicity
 from corpuslens.plans.session import materialize, shared_dir
 from corpuslens.sources import readers
 from corpuslens.sources.export import export_csv
-from corpuslens.sources.normalize import compose_prompt, normalize_columns
+from corpuslens.sources.normalize import normalize_columns
 from corpuslens.streaming import incremental
 
 KEYS = t.KEYS

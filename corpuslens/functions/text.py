@@ -54,6 +54,9 @@ def with_term_counts(
     Sorting the tokens of a row and cutting the sorted array into runs counts them without a
     shuffle. An empty or null text gives an empty or null array. ``norm`` is the length of the
     vector of all counts; ``terms`` holds only ``words``, where they are given.
+
+    The steps are columns that later steps use more than once: the optimizer would move a column
+    used once into the array function that uses it, and evaluate it for every element.
     """
     sorted_tokens = df.select(*keep, F.sort_array(tokens(F.col(text))).alias("_sorted"))
     first = F.filter(
@@ -67,10 +70,10 @@ def with_term_counts(
         .when(F.col("_sorted").isNotNull(), F.array().cast("array<int>"))
         .alias("_first"),
     )
-    tf = F.transform(
-        "_first", lambda start, i: F.coalesce(F.get("_first", i + 1), F.size("_sorted")) - start
-    )
-    counted = cut.select(*keep, "_sorted", "_first", tf.alias("_tf"))
+
+    def tf(i: Column) -> Column:
+        return F.coalesce(F.get("_first", i + 1), F.size("_sorted")) - F.get("_first", i)
+
     wanted = one_of("_sorted[_first[i]]", words)
     terms = F.transform(
         F.expr(
@@ -78,12 +81,11 @@ def with_term_counts(
             f"THEN filter(sequence(0, size(_first) - 1), i -> {wanted}) "
             "WHEN _first IS NOT NULL THEN CAST(array() AS array<int>) END"
         ),
-        lambda i: F.struct(
-            F.get("_sorted", F.get("_first", i)).alias("token"), F.get("_tf", i).alias("tf")
-        ),
+        lambda i: F.struct(F.get("_sorted", F.get("_first", i)).alias("token"), tf(i).alias("tf")),
     )
-    norm = F.aggregate("_tf", F.lit(0.0), lambda total, n: total + n.cast("double") * n)
-    return counted.select(*keep, terms.alias("terms"), F.sqrt(norm).alias("norm"))
+    lengths = F.transform("_first", lambda _, i: tf(i).cast("double"))
+    norm = F.sqrt(F.aggregate(lengths, F.lit(0.0), lambda total, n: total + n * n))
+    return cut.select(*keep, terms.alias("terms"), norm.alias("norm"))
 
 
 def explode_rows(df: DataFrame, keep: list[str], elements: Column, name: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Numbers, distributions and frequencies of the results.
 
-Scores come as (keys, field, metric, value), labels as (keys, field, label). The number of
-fields and metrics is that of the score columns, so tables with a few rows per field and metric
-are safe to broadcast; everything else is pre-aggregated before it is shuffled.
+Scores come as (keys, field, metric, value), labels as (keys, field, label). Everything is
+aggregated in part before it is shuffled. Tables with one row per field and metric are computed
+once, measured and then broadcast.
 """
 
 from __future__ import annotations
@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from corpuslens.data.tables import small_table
 from corpuslens.operators.longform import FIELDS
+from corpuslens.plans.lookups import lookup_join
 from corpuslens.plans.quantiles import exact_quantiles
+from corpuslens.plans.session import materialize
 
 BY = ["field", "metric"]
 BINS = 50
@@ -47,7 +49,7 @@ def histogram(scores: DataFrame, bins: int = BINS) -> DataFrame:
     width = (F.col("most") - F.col("least")) / bins
     place = F.floor((F.col("value") - F.col("least")) / (F.col("most") - F.col("least")) * bins)
     return (
-        present.join(F.broadcast(ranges), BY)
+        lookup_join(present, materialize(ranges), BY, salt_by=["value"])
         .withColumn(
             "bin",
             F.when(F.col("most") > F.col("least"), F.least(place + 1, F.lit(bins))).otherwise(1),
@@ -95,7 +97,7 @@ def density(scores: DataFrame, bins: int = BINS, points: int = GRID) -> DataFram
     ).where(F.col("most") > F.col("least"))
     shaped = stats.withColumn("width", 1.06 * F.col("std") * F.pow("total", F.lit(-0.2)))
     bars = histogram(scores, bins).select(*BY, ((F.col("low") + F.col("high")) / 2).alias("mid"), "n")
-    grid = bars.join(F.broadcast(shaped), BY).select(
+    grid = bars.join(shaped, BY).select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")
     )
     x = F.col("least") + (F.col("most") - F.col("least")) * F.col("point") / (points - 1)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from corpuslens.plans.lookups import lookup_join
+from corpuslens.plans.session import materialize
+
 ACCURACY = 10_000
 
 
@@ -12,8 +15,8 @@ def exact_quantiles(values: DataFrame, by: list[str], probabilities: list[float]
 
     A quantile sketch first gives, for each probability, two values that surely enclose the
     rank sought (a small group is taken whole). The rows below the lower one are only counted;
-    the few values in between are summed up by value and ranked. ``by`` must have few distinct values (a field and a metric):
-    its brackets are broadcast, at most one row per group and probability.
+    the few values in between are summed up by value and ranked. The brackets, one row per group
+    and probability, are computed once and broadcast if they are as few as expected.
     """
     margin = 2.0 / ACCURACY
     present = values.where(F.col("value").isNotNull())
@@ -54,7 +57,7 @@ def exact_quantiles(values: DataFrame, by: list[str], probabilities: list[float]
     # Values below the bracket collapse to one row per task before the shuffle; that row ranks
     # first and is never the answer. Values above are dropped where they are read.
     summed = (
-        present.join(F.broadcast(brackets), by)
+        lookup_join(present, materialize(brackets), by, salt_by=["value"])
         .where(F.col("value") <= F.col("high"))
         .groupBy(*group, F.when(inside, F.col("value")).alias("value"))
         .agg(F.count(F.lit(1)).alias("count"))

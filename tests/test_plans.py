@@ -42,6 +42,14 @@ def test_texts_are_not_carried_through_the_explode(spark, capsys):
             assert "text#" not in kept.replace("has_text#", "") and "terms#" not in kept
 
 
+@pytest.mark.parametrize("name", ["similarity_tfidf", "topic_closest", "topic_counts"])
+def test_term_counts_are_not_evaluated_per_term(spark, capsys, name):
+    lines = plan_of(QUERIES[name](spark, SF), capsys).splitlines()
+    for line in lines:
+        if "sort_array" in line:
+            assert "lambdafunction" not in line and line.count("sort_array") == 1
+
+
 def test_patterns_and_statistics_stay_in_the_row(spark, capsys):
     plan = plan_of(QUERIES["pii_selected"](spark, SF), capsys)
     assert "HashAggregate" not in plan

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpuslens.functions import checksums
 from corpuslens.functions.text import explode_rows, tokens
 from corpuslens.functions.words import one_of
-from corpuslens.operators.longform import FIELDS
+from corpuslens.operators.longform import FIELDS, attach, to_long
 from corpuslens.plans.lookups import known_words, lookup_join
 
 VALID, SHAPE, WEAK = 1.0, 0.85, 0.4
@@ -208,7 +208,27 @@ def rendered_entities(
 
 
 def analyze_entities(
-    pairs: DataFrame, selected: list[str] | None = None, fields: tuple[str, ...] = FIELDS
+    pairs: DataFrame,
+    selected: list[str] | None = None,
+    fields: tuple[str, ...] = FIELDS,
+    keys: list[str] | None = None,
+    names: DataFrame | None = None,
 ) -> DataFrame:
-    """Pairs plus ``prompt_pii`` and ``response_pii``, arrays of findings by shape."""
-    return pairs.withColumns({f"{f}_pii": shape_entities(F.col(f), selected) for f in fields})
+    """Pairs plus ``prompt_pii`` and ``response_pii``, arrays of findings.
+
+    Findings by shape are made in the row. With ``keys`` and a table of ``names``, the names found
+    in a text are joined to them; the list of one text is all that is gathered.
+    """
+    result = pairs.withColumns({f"{f}_pii": shape_entities(F.col(f), selected) for f in fields})
+    if names is None or not set(select_entities(selected)) & set(NAMED):
+        return result
+    found = named_entities(to_long(pairs, keys, fields), keys, names, selected)
+    finding = F.struct("entity", "text", "score")
+    gathered = found.groupBy(*keys).agg(
+        *[F.sort_array(F.collect_list(F.when(F.col("field") == f, finding))).alias(f"_{f}") for f in fields]
+    )
+    none = F.array().cast(FINDING)
+    both = {
+        f"{f}_pii": F.concat(f"{f}_pii", F.coalesce(F.col(f"_{f}").cast(FINDING), none)) for f in fields
+    }
+    return attach(result, gathered, keys).withColumns(both).drop(*[f"_{f}" for f in fields])

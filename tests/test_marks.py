@@ -130,3 +130,12 @@ def test_rendered_and_wide(spark, long_of):
     row = entities.analyze_entities(pairs).first()
     assert [x.asDict() for x in row["prompt_pii"]] == [{"entity": "EMAIL_ADDRESS", "text": "a@b.org", "score": 0.85}]
     assert row["response_pii"] == []
+    pairs = spark.createDataFrame(
+        [(1, "a@b.org of the World Bank in Paris", None), (2, "none", "in London")],
+        "row_id bigint, prompt string, response string",
+    )
+    rows = entities.analyze_entities(pairs, keys=KEYS, names=name_table(spark)).orderBy("row_id").collect()
+    assert [[(x["entity"], x["text"]) for x in r["prompt_pii"]] for r in rows] == [
+        [("EMAIL_ADDRESS", "a@b.org"), ("LOCATION", "paris"), ("ORGANIZATION", "world bank")], []
+    ]
+    assert [[x["text"] for x in r["response_pii"]] for r in rows] == [[], ["london"]]

@@ -12,7 +12,8 @@ from corpuslens.operators import entities, patterns, readability, similarity, su
 from corpuslens.operators.longform import to_long, to_metrics
 from corpuslens.operators.sentiment import score_sentiment
 from corpuslens.operators.toxicity import learn_toxicity, score_toxicity
-from corpuslens.plans.session import materialize, shared_dir
+from corpuslens.plans.session import materialize
+from corpuslens.plans.storage import shared_dir
 from corpuslens.sources import readers
 from corpuslens.sources.export import export_csv
 from corpuslens.sources.normalize import normalize_columns

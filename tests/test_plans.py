@@ -3,7 +3,8 @@
 import pytest
 
 from checks.queries import QUERIES
-from corpuslens.plans.session import materialize, shared_dir, spread
+from corpuslens.plans.session import materialize, spread
+from corpuslens.plans.storage import shared_dir
 
 SF = "/root/testdata/sf0.001"
 SLOW = {"stream_scores", "stream_summary", "stream_foreach_batch", "topic_discovery", "similarity_lsh"}

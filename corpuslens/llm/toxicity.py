@@ -42,7 +42,7 @@ PLAIN = re.compile(r"[^\W\d_]+")
 LONG_RUN = re.compile(r"([^\W\d_])\1\1")
 NEAR = 6
 LEXICON_ROWS = 1_000
-LEAST_DOCUMENTS, LEAST_DEVIATIONS = 3, 4.0
+LEAST_DOCUMENTS, LEAST_SHARE, LEAST_DEVIATIONS = 3, 0.04, 4.0
 THRESHOLD = 0.3
 ROWS_AT_ONCE = 200
 N_FEATURES = 12
@@ -98,7 +98,8 @@ class ToxicityModel:
 def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     """Weights of the words that mark label 1 in (text, label); the best ``LEXICON_ROWS``.
 
-    The weight is the log-odds, smoothed; it must be several of its deviations above zero.
+    The weight is the log-odds, smoothed; it must be several of its deviations above zero, and the
+    word must occur in a share of the toxic texts, lest copies of one text make its words weigh.
     """
     totals = sample.agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("n")).first()
     toxic, clean = float(totals["toxic"] or 0), float(totals["n"] - (totals["toxic"] or 0))
@@ -108,7 +109,7 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
         sample.select("label", F.explode(words).alias("word"))
         .groupBy("word")
         .agg(F.sum("label").alias("a"), F.count(F.lit(1)).alias("n"))
-        .where(F.col("a") >= LEAST_DOCUMENTS)
+        .where(F.col("a") >= max(LEAST_DOCUMENTS, LEAST_SHARE * toxic))
     )
     a, b = F.col("a") + 0.5, F.col("n") - F.col("a") + 0.5
     odds = F.log(a / (toxic - F.col("a") + 0.5)) - F.log(b / (clean - F.col("n") + F.col("a") + 0.5))

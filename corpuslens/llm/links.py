@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpuslens.plans.storage import stored
 
@@ -62,12 +62,19 @@ def crowded(members: DataFrame) -> DataFrame:
 
 
 def group_candidates(
-    shared: DataFrame, verify: Callable[[DataFrame], DataFrame], known: DataFrame | None = None
+    shared: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    known: DataFrame | None = None,
+    traits: Callable[[DataFrame], DataFrame] | None = None,
+    possible: Callable[[Column, Column], Column] | None = None,
+    traits_from: int = 0,
 ) -> DataFrame:
     """(id, component) of all ids that have a link, from (bucket, id, n) as ``crowded`` gives them.
 
     ``verify`` takes distinct pairs (a, b) with a < b and returns those that are links. ``known`` are
-    links (u, v) that need no test.
+    links (u, v) that need no test. ``traits`` gives (id, trait) of the ids in a round, from the round
+    numbered ``traits_from``, and ``possible`` says of two traits whether a link can be at all; what it
+    rules out within the join of a bucket is no pair.
     """
     spark = shared.sparkSession
     kind = shared.schema["id"].dataType.simpleString()
@@ -77,8 +84,9 @@ def group_candidates(
     edges = stored(edges.select("u", "v"))
     largest = shared.agg(F.max("n")).first()[0] or 0
     labels = components(edges)
-    tested = 0
+    tested = rounds = 0
     steps = list(PIVOTS)
+    known_traits = None
     while tested < largest:
         pivots = steps.pop(0) if steps else tested * 8
         labelled = shared.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id"))
@@ -90,18 +98,25 @@ def group_candidates(
             .select("bucket")
         )
         rows = stored(labelled.join(open_, "bucket").select("bucket", "id", "label", "weight"))
+        if traits and rounds >= traits_from and known_traits is None:
+            known_traits = stored(traits(rows.select("id").distinct()))
+        described = rows.join(known_traits, "id") if known_traits else rows.withColumn("trait", F.lit(0))
         order = Window.partitionBy("bucket").orderBy(F.desc("weight"), "id")
         ranked = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots)
         chosen = ranked.where(F.col("rank") > tested).select(
-            "bucket", F.col("id").alias("pivot"), F.col("label").alias("pivot_label")
+            "id", "bucket", F.col("id").alias("pivot"), F.col("label").alias("pivot_label")
         )
+        if known_traits:
+            chosen = chosen.join(known_traits.withColumnRenamed("trait", "pivot_trait"), "id")
+        meet = (described["bucket"] == chosen["bucket"]) & (F.col("label") != F.col("pivot_label"))
+        if known_traits:
+            meet &= possible(F.col("trait"), F.col("pivot_trait"))
         pairs = stored(
-            rows.join(chosen, "bucket")
-            .where(F.col("label") != F.col("pivot_label"))
+            described.join(chosen.drop("id"), meet)
             .select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
             .distinct()
         )
-        tested = pivots
+        tested, rounds = pivots, rounds + 1
         if not rows.take(1):
             break
         if not pairs.take(1):

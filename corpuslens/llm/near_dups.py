@@ -4,6 +4,9 @@ A text is the set of its word shingles. Many universal hash functions give a sig
 bands of it make buckets; texts that share one are compared by their signatures, and those that may
 reach the threshold by their full sets. Links are closed to groups by alternating large and small
 stars. Texts with equal sets are one text from the start, so copies never meet each other in a bucket.
+Among many edited copies of one text most pairs are near the threshold and still no links. Members of
+buckets that are not one group after the first round get a sketch, one bit of each of many more minima,
+by which nearly all such pairs are ruled out within the join, before they are made.
 
 The bands are chosen so that a pair at the threshold shares none of them with a chance of ``MISS``.
 Results: one row per row. A null or empty text, or one without a word, has no shingles and is linked
@@ -21,7 +24,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corpuslens.llm.links import crowded, group_candidates
 from corpuslens.plans.lookups import fits_broadcast
@@ -31,6 +34,7 @@ SEED = 5
 ROWS_PER_BAND = 5
 MISS = 1e-7
 DEVIATIONS = 6.0
+SKETCH_BITS = 2048
 CACHED_WORDS, ROWS_AT_ONCE = 300_000, 100
 
 
@@ -55,6 +59,12 @@ class Likeness:
         share, n = self.percent / 100, self.hashes
         return math.floor(share * n - DEVIATIONS * math.sqrt(n * share * (1 - share)))
 
+    @property
+    def most_different(self) -> int:
+        """Differing bits of two sketches above which a pair at the threshold is all but impossible."""
+        share, n = (1 - self.percent / 100) / 2, SKETCH_BITS
+        return math.ceil(share * n + DEVIATIONS * math.sqrt(n * share * (1 - share)))
+
 
 class WordHashes(dict):
     """Hashes of words, a bounded list of them kept."""
@@ -156,6 +166,28 @@ def shingle_sets(rows: DataFrame, like: Likeness) -> DataFrame:
     return rows.select("id", "text").mapInArrow(work, f"id {kind}, shingles array<bigint>")
 
 
+def sketches(sets: DataFrame) -> DataFrame:
+    """(id, trait) from (id, shingles): the size, and one bit of each of many more minima."""
+
+    def work(batches: Iterator[pa.RecordBatch]):
+        for batch in _slices(batches):
+            rows = [np.asarray(s, np.int64).view(np.uint64) for s in batch.column(1).to_pylist()]
+            bits = signatures(rows, SKETCH_BITS) & np.uint32(1)
+            packed = np.packbits(bits.astype(np.uint8), axis=1, bitorder="little").view("<i8")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array([len(r) for r in rows], pa.int64()),
+                    pa.array(list(packed), pa.list_(pa.int64())),
+                ],
+                names=["id", "size", "bits"],
+            )
+
+    kind = sets.schema["id"].dataType.simpleString()
+    found = sets.select("id", "shingles").mapInArrow(work, f"id {kind}, size bigint, bits array<bigint>")
+    return found.select("id", F.struct("size", "bits").alias("trait"))
+
+
 def joined(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
     """Pairs with the value of both sides, as ``va`` and ``vb``."""
     left = table.select(F.col("id").alias("a"), F.col(value).alias("va"))
@@ -200,6 +232,16 @@ def group_documents(
         union = F.size("va") + F.size("vb") - common
         return full.where(100 * common >= like.percent * union).select("a", "b").distinct()
 
+    def traits(ids: DataFrame) -> DataFrame:
+        return sketches(sets.join(ids, "id", "left_semi"))
+
+    def possible(a: Column, b: Column) -> Column:
+        """Sets of sizes and sketches that a pair at the threshold may have."""
+        small, large = F.least(a["size"], b["size"]), F.greatest(a["size"], b["size"])
+        counts = F.zip_with(a["bits"], b["bits"], lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+        differ = F.aggregate(counts, F.lit(0), lambda total, n: total + n)
+        return (100 * small >= like.percent * large) & (differ <= like.most_different)
+
     again = table.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("id")
     same_id = (
         table.where(F.col("n") > 0)
@@ -208,7 +250,7 @@ def group_documents(
         .select(F.col("id").alias("u"), F.col("rep").alias("v"))
         .where(F.col("u") != F.col("v"))
     )
-    groups = group_candidates(members, verify, same_id)
+    groups = group_candidates(members, verify, same_id, traits, possible, traits_from=1)
     # a class is as its representative; the class's key may hold a third of the rows
     found = classes.join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
         "set_key", F.coalesce("component", "rep").alias("component_id")

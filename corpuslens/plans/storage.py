@@ -35,7 +35,16 @@ def stored(df: DataFrame) -> DataFrame:
     """Compute once, write as Parquet and read back, so that a lost executor costs no recomputation."""
     path = new_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    read = df.sparkSession.read.schema(df.schema).parquet(path)
+    read.stored_path = path
+    return read
+
+
+def release(df: DataFrame) -> None:
+    """Delete a stored table that nothing still to be computed reads."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clear_stored(spark: SparkSession) -> None:

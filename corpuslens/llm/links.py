@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpuslens.plans.storage import stored
+from corpuslens.plans.storage import release, stored
 
 PIVOTS = [1, 8, 64, 512]
 
@@ -50,7 +50,8 @@ def components(edges: DataFrame) -> DataFrame:
                 )
             ).alias("e")
         ).select("e.*")
-        now = stored(small.where(F.col("u") != F.col("v")).distinct())
+        older, now = now, stored(small.where(F.col("u") != F.col("v")).distinct())
+        release(older)
     roots = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
 
@@ -69,7 +70,8 @@ def group_candidates(
     possible: Callable[[Column, Column], Column] | None = None,
     traits_from: int = 0,
 ) -> DataFrame:
-    """(id, component) of all ids that have a link, from (bucket, id, n) as ``crowded`` gives them.
+    """(id, component) of all ids that have a link, from (bucket, id, n) as ``crowded`` gives them
+    (stored, and used up here).
 
     ``verify`` takes distinct pairs (a, b) with a < b and returns those that are links. ``known`` are
     links (u, v) that need no test. ``traits`` gives (id, trait) of the ids in a round, from the round
@@ -79,7 +81,8 @@ def group_candidates(
     spark = shared.sparkSession
     kind = shared.schema["id"].dataType.simpleString()
     central = shared.groupBy("id").agg(F.sum("n").alias("weight"))
-    shared = stored(shared.join(central, "id"))
+    given, shared = shared, stored(shared.join(central, "id"))
+    release(given)
     edges = known if known is not None else spark.createDataFrame([], f"u {kind}, v {kind}")
     edges = stored(edges.select("u", "v"))
     largest = shared.agg(F.max("n")).first()[0] or 0
@@ -119,9 +122,11 @@ def group_candidates(
         tested, rounds = pivots, rounds + 1
         if not rows.take(1):
             break
+        release(rows)
         if not pairs.take(1):
             continue
         found = stored(verify(pairs).select(F.col("a").alias("u"), F.col("b").alias("v")))
+        release(pairs)
         if found.take(1):
             edges = edges.union(found)
             labels = components(edges)

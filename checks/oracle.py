@@ -169,7 +169,7 @@ TFIDF = (
     "ex_n AS (SELECT count(DISTINCT example_id) AS n FROM ex_tf)",
     """idf AS (
   SELECT token, ln((1 + max(n)) / (1 + count(*))) + 1 AS idf FROM ex_tf, ex_n
-  GROUP BY token HAVING count(*) * 2 <= max(n))""",
+  GROUP BY token)""",
     "ex_w AS (SELECT example_id, token, tf * idf AS w FROM ex_tf JOIN idf USING (token))",
     "ex_norm AS (SELECT example_id, sqrt(sum(w * w)) AS norm FROM ex_w GROUP BY ALL)",
     "row_w AS (SELECT row_id, field, token, tf * idf AS w FROM tf JOIN idf USING (token))",

@@ -1,6 +1,6 @@
 """The default pattern groups."""
 
-# Groups that match only where there is a digit, and what the others need at least.
+# Groups that can match without a digit or a plus sign, and what they need at least.
 DIGIT_FREE = {"email address", "mailing address - BR"}
 NEEDED_TEXT = {"email address": "@"}
 

@@ -68,7 +68,12 @@ RULES = {
     ),
     "CRYPTO": Rule(r"\b(?:bc1[a-z0-9]{25,59}|[13][1-9A-HJ-NP-Za-km-z]{25,34})\b", WEAK),
     "UK_NHS": Rule(r"\b[0-9]{3}[ -]?[0-9]{3}[ -]?[0-9]{4}\b", VALID, checksums.uk_nhs),
-    "CREDIT_CARD": Rule(r"\b(?:[0-9][ -]?){12,18}[0-9]\b", VALID, checksums.luhn),
+    "CREDIT_CARD": Rule(
+        r"\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\b"
+        r"|\b[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{5}\b|\b[0-9]{13,19}\b",
+        VALID,
+        checksums.luhn,
+    ),
     "US_ITIN": Rule(
         r"\b9[0-9]{2}-(?:5[0-9]|6[0-5]|7[0-9]|8[0-8]|9[0-24-9])-[0-9]{4}\b", SHAPE
     ),
@@ -126,20 +131,21 @@ def shape_entities(text: Column, selected: list[str] | None = None) -> Column:
 def named_entities(
     long: DataFrame, keys: list[str], names: DataFrame, selected: list[str] | None = None
 ) -> DataFrame:
-    """(keys, field, entity, text, score): names of one to three words found in the token order.
+    """(keys, field, entity, text, score): names found in the token order, whatever their length.
 
-    First words of names leave the token array with their two successors and meet the table, so
-    a text is exploded once whatever the length of the names.
+    First words of names leave the token array with as many successors as the longest name has and
+    meet the table, so a text is exploded once.
     """
     wanted = [e for e in select_entities(selected) if e in NAMED]
     parts = tokens(F.col("name"))
     lookup = (
         names.where(F.col("entity").isin(*wanted))
         .select("entity", parts.alias("n"))
-        .where(F.size("n").between(1, 3))
-        .select("entity", *[F.get("n", F.lit(i)).alias(f"name{i}") for i in range(3)])
+        .where(F.size("n") > 0)
+        .select("entity", "n", F.get("n", F.lit(0)).alias("name0"))
         .distinct()
     )
+    longest = lookup.agg(F.max(F.size("n"))).first()[0] or 1
     group = [*keys, "field"]
     split = long.select(*group, tokens(F.col("text")).alias("t"))
     known = one_of("t[i]", known_words(lookup, "name0"))
@@ -147,21 +153,16 @@ def named_entities(
     with_next = F.transform(
         "places",
         lambda i: F.struct(
-            F.get("t", i).alias("name0"),
-            F.get("t", i + 1).alias("next1"),
-            F.get("t", i + 2).alias("next2"),
+            F.get("t", i).alias("name0"), F.slice("t", i + 1, F.lit(longest)).alias("here")
         ),
     )
     placed = split.select(*group, "t", places.alias("places"))
     words = explode_rows(placed, group, with_next, "w").select(*group, "w.*")
     met = lookup_join(words, lookup, ["name0"], "inner", group)
-    whole = (F.col("name1").isNull() | (F.col("name1") == F.col("next1"))) & (
-        F.col("name2").isNull() | (F.col("name2") == F.col("next2"))
-    )
-    return met.where(F.coalesce(whole, F.lit(False))).select(
+    return met.where(F.slice("here", F.lit(1), F.size("n")) == F.col("n")).select(
         *group,
         "entity",
-        F.concat_ws(" ", "name0", "name1", "name2").alias("text"),
+        F.array_join("n", " ").alias("text"),
         F.lit(WEAK).alias("score"),
     )
 

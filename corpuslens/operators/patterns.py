@@ -35,7 +35,7 @@ def _match(text: Column, name: str, expression: str) -> Column:
 
 
 def _without_digit(groups: Groups) -> Groups:
-    """The groups that still have to be tried on a text without any digit."""
+    """The groups that still have to be tried on a text without any digit or plus sign."""
     return [g for g in groups if g not in PATTERN_GROUPS or g[0] in DIGIT_FREE]
 
 
@@ -47,7 +47,7 @@ def label(text: Column, groups: Groups = PATTERN_GROUPS) -> Column:
             F.lit(None).cast("string"), *[F.when(_match(text, n, e), F.lit(n)) for n, e in tried]
         )
 
-    return F.when(text.rlike("[0-9]"), first(groups)).otherwise(first(_without_digit(groups)))
+    return F.when(text.rlike("[0-9+]"), first(groups)).otherwise(first(_without_digit(groups)))
 
 
 def label_patterns(
@@ -65,5 +65,5 @@ def pattern_hits(long: DataFrame, keys: list[str], groups: Groups = PATTERN_GROU
         names = [F.when(_match(text, n, e), F.lit(n)) for n, e in tried]
         return F.array_distinct(F.array_compact(F.array(F.lit(None).cast("string"), *names)))
 
-    matched = F.when(text.rlike("[0-9]"), every(groups)).otherwise(every(_without_digit(groups)))
+    matched = F.when(text.rlike("[0-9+]"), every(groups)).otherwise(every(_without_digit(groups)))
     return explode_rows(long, [*keys, "field"], matched, "group")

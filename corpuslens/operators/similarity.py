@@ -95,9 +95,9 @@ def shingle_similarity(
 def example_weights(examples: DataFrame) -> DataFrame:
     """(token, idf, group, example_id, weight): unit TF-IDF vectors of the examples.
 
-    Tokens in more than half of the examples carry no information here and are dropped, which
-    also keeps a stop word from meeting every example. One more row per token, without an
-    example, lets the same pass over a text add up the length of its own vector.
+    No token is dropped, however common: the idf is never below 1, so a text equal to the only example
+    scores 1. One more row per token, without an example, lets the same pass over a text add up the
+    length of its own vector.
     """
     example = ["group", "example_id"]
     counted = with_term_counts(distinct_examples(examples), example)
@@ -109,7 +109,6 @@ def example_weights(examples: DataFrame) -> DataFrame:
         terms.groupBy("token")
         .agg(F.count(F.lit(1)).alias("df"))
         .withColumn("n", total)
-        .where(F.col("df") * 2 <= F.col("n"))
         .select("token", (F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     )
     weighted = terms.join(idf, "token").withColumn("weight", F.col("tf") * F.col("idf"))

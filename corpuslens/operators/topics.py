@@ -2,27 +2,30 @@
 
 from __future__ import annotations
 
+import regex
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import IDF, CountVectorizer
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpuslens.data.tables import TOPIC_WORDS, small_table
-from corpuslens.functions.text import tokens, with_term_counts
+from corpuslens.functions.text import TOKEN, tokens, with_term_counts
 from corpuslens.operators.longform import FIELDS, attach, to_long, widen
 from corpuslens.plans.lookups import known_words, lookup_join
 from corpuslens.plans.session import materialize
 
+WORD = regex.compile(TOKEN)
+
 
 def topic_table(spark: SparkSession, names: str | None = None) -> DataFrame:
     """(topic, token, weight) for a comma-separated list of names; blank means the default list.
 
-    A name without words of its own is matched by the words of the name.
+    A name without words of its own is matched by the words of the name, runs of letters as in texts.
     """
     wanted = [n.strip() for n in (names or "").split(",") if n.strip()] or list(TOPIC_WORDS)
     rows = [
         (topic, token, 1.0)
         for topic in dict.fromkeys(wanted)
-        for token in dict.fromkeys([*topic.lower().split(), *TOPIC_WORDS.get(topic, [])])
+        for token in dict.fromkeys([*WORD.findall(topic.lower()), *TOPIC_WORDS.get(topic, [])])
     ]
     return small_table(spark, ["topic", "token", "weight"], rows)
 

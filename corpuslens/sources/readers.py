@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -57,19 +59,34 @@ def literal_pair(spark: SparkSession, prompt: str, response: str) -> DataFrame:
     return spark.range(1).select(F.lit(prompt).alias("prompt"), F.lit(response).alias("response"))
 
 
-def read_file(spark: SparkSession, path: str) -> DataFrame:
-    """Choose the reader by the ending of the path."""
+def holds_json_lines(spark: SparkSession, path: str) -> bool:
+    """Whether the first two lines are an object each, so that one record per line is meant."""
+    rows = spark.read.text(path).where(F.trim("value") != "").take(2)
+    try:
+        return len(rows) == 2 and all(isinstance(json.loads(r["value"]), dict) for r in rows)
+    except ValueError:
+        return False
+
+
+def read_file(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Choose the reader by the ending of the path; options go to it.
+
+    A ``.json`` file with a record per line is read by lines, unless ``lines`` says otherwise: as one
+    document only its first record would be left.
+    """
     readers = {
         "csv": read_csv,
         "tsv": read_tsv,
-        "json": read_json,
-        "jsonl": lambda s, p: read_json(s, p, lines=True),
-        "parquet": lambda s, p: s.read.parquet(p),
+        "json": lambda s, p, lines=None, **o: read_json(
+            s, p, lines=holds_json_lines(s, p) if lines is None else lines, **o
+        ),
+        "jsonl": lambda s, p, **o: read_json(s, p, **{"lines": True, **o}),
+        "parquet": lambda s, p, **o: s.read.options(**o).parquet(p),
     }
     ending = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if ending not in readers:
         raise ValueError(f"Unsupported file format: {path}")
-    return readers[ending](spark, path)
+    return readers[ending](spark, path, **options)
 
 
 def load_pairs(
@@ -80,12 +97,13 @@ def load_pairs(
     instruction_name: str | None = None,
     input_name: str | None = None,
     response_name: str | None = None,
+    **options,
 ) -> DataFrame:
-    """A typed-in pair wins over a file, a file over a split directory."""
+    """A typed-in pair wins over a file, a file over a split directory; options go to the file's reader."""
     if literal and all(literal):
         return literal_pair(spark, *literal)
     if path:
-        raw = read_file(spark, path)
+        raw = read_file(spark, path, **options)
     elif split_dir:
         raw = read_split(spark, split_dir)
     else:

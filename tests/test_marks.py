@@ -139,3 +139,17 @@ def test_rendered_and_wide(spark, long_of):
         [("EMAIL_ADDRESS", "a@b.org"), ("LOCATION", "paris"), ("ORGANIZATION", "world bank")], []
     ]
     assert [[x["text"] for x in r["response_pii"]] for r in rows] == [[], ["london"]]
+
+
+def test_guards_keep_what_matches_without_a_digit(long_of):
+    text = "diff +" + " " * 11 + "end"
+    hits = {r["group"] for r in patterns.pattern_hits(long_of([text, "plain words"]), ["row_id"]).collect()}
+    assert hits == {"phone number - US"}
+
+
+@pytest.mark.parametrize(
+    "text", ["4111 1111 1111 1111 12/27", "card 4111 1111 1111 1111 123 cvv", "order 7 4111 1111 1111 1111"]
+)
+def test_cards_next_to_other_digits(long_of, text):
+    found = entities.extract_entities(long_of([text]), ["row_id"], selected=["CREDIT_CARD"]).first()
+    assert "4111 1111 1111 1111" in str(found)

@@ -147,3 +147,13 @@ def test_pattern_file(spark, tmp_path):
     path = tmp_path / "groups.json"
     path.write_text(json.dumps(groups, indent=2))
     assert read_pattern_groups(spark, str(path)) == [("one", "a+"), ("one", "b+"), ("two", "c")]
+
+
+def test_json_lines_under_the_json_ending_are_all_read(spark, tmp_path):
+    rows = [{"prompt": f"p{i}", "response": f"r{i}"} for i in range(5)]
+    path = tmp_path / "rows.json"
+    path.write_text("\n".join(json.dumps(r) for r in rows))
+    assert load_pairs(spark, path=str(path)).count() == 5
+    path = tmp_path / "array.json"
+    path.write_text(json.dumps(rows, indent=1))
+    assert load_pairs(spark, path=str(path)).count() == 5

@@ -9,7 +9,7 @@ member has been a pivot. Copies of one text therefore cost a test each, and stil
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -18,8 +18,8 @@ from corpuslens.plans.storage import release, stored
 PIVOTS = [1, 8, 64, 512]
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of every id in (u, v): the smallest id reachable, by alternating stars.
+def stars(edges: DataFrame) -> DataFrame:
+    """(u, v), stored: every id in ``edges`` that is not the smallest reachable, and that one, by alternating stars.
 
     The large star ties the larger neighbours of an id to its smallest neighbour, the small star the
     smaller ones; both together end with every id tied to the smallest of its component.
@@ -30,15 +30,15 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("s")).first()
         if mark["n"] == 0 or mark == before:
-            break
+            return now
         before = mark
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # a row for an edge at most; the small star removes the repeats
         large = (
             both.join(least, "u")
             .where(F.col("v") > F.col("u"))
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .distinct()
         )
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         tied = large.join(least, "u")
@@ -52,8 +52,17 @@ def components(edges: DataFrame) -> DataFrame:
         ).select("e.*")
         older, now = now, stored(small.where(F.col("u") != F.col("v")).distinct())
         release(older)
-    roots = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
+
+
+def with_roots(tied: DataFrame) -> DataFrame:
+    """(id, component) from ``stars``, the smallest ids too."""
+    roots = tied.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+    return tied.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component) of every id in (u, v): the smallest id reachable."""
+    return with_roots(stars(edges))
 
 
 def crowded(members: DataFrame) -> DataFrame:
@@ -69,14 +78,15 @@ def group_candidates(
     traits: Callable[[DataFrame], DataFrame] | None = None,
     possible: Callable[[Column, Column], Column] | None = None,
     traits_from: int = 0,
+    pivots_to: Sequence[int] = PIVOTS,
 ) -> DataFrame:
     """(id, component) of all ids that have a link, from (bucket, id, n) as ``crowded`` gives them
-    (stored, and used up here).
+    (stored, and used up here). Every bucket's first ``pivots_to`` members are pivots, round by round.
 
     ``verify`` takes distinct pairs (a, b) with a < b and returns those that are links. ``known`` are
     links (u, v) that need no test. ``traits`` gives (id, trait) of the ids in a round, from the round
-    numbered ``traits_from``, and ``possible`` says of two traits whether a link can be at all; what it
-    rules out within the join of a bucket is no pair.
+    numbered ``traits_from``, or ``shared`` has a column ``trait``, if it is small; ``possible`` says of
+    two traits whether a link can be at all; what it rules out within the join of a bucket is no pair.
     """
     spark = shared.sparkSession
     kind = shared.schema["id"].dataType.simpleString()
@@ -84,14 +94,15 @@ def group_candidates(
     given, shared = shared, stored(shared.join(central, "id"))
     release(given)
     edges = known if known is not None else spark.createDataFrame([], f"u {kind}, v {kind}")
-    edges = stored(edges.select("u", "v"))
+    tied = stars(edges.select("u", "v"))
     largest = shared.agg(F.max("n")).first()[0] or 0
-    labels = components(edges)
     tested = rounds = 0
-    steps = list(PIVOTS)
+    steps = list(pivots_to)
+    carried = ["trait"] if "trait" in shared.columns else []
     known_traits = None
     while tested < largest:
         pivots = steps.pop(0) if steps else tested * 8
+        labels = tied.select(F.col("u").alias("id"), F.col("v").alias("component"))
         labelled = shared.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id"))
         open_ = (
             labelled.where(F.col("n") > tested)
@@ -100,34 +111,40 @@ def group_candidates(
             .where(F.col("lo") != F.col("hi"))
             .select("bucket")
         )
-        rows = stored(labelled.join(open_, "bucket").select("bucket", "id", "label", "weight"))
+        rows = stored(labelled.join(open_, "bucket").select("bucket", "id", "label", "weight", *carried))
+        if not rows.take(1):
+            break
         if traits and rounds >= traits_from and known_traits is None:
             known_traits = stored(traits(rows.select("id").distinct()))
-        described = rows.join(known_traits, "id") if known_traits else rows.withColumn("trait", F.lit(0))
+        described = rows.join(known_traits, "id") if known_traits else rows
         order = Window.partitionBy("bucket").orderBy(F.desc("weight"), "id")
         ranked = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots)
-        chosen = ranked.where(F.col("rank") > tested).select(
-            "id", "bucket", F.col("id").alias("pivot"), F.col("label").alias("pivot_label")
-        )
-        if known_traits:
-            chosen = chosen.join(known_traits.withColumnRenamed("trait", "pivot_trait"), "id")
-        meet = (described["bucket"] == chosen["bucket"]) & (F.col("label") != F.col("pivot_label"))
+        chosen = ranked.where(F.col("rank") > tested)
         if known_traits:
+            chosen = chosen.join(known_traits, "id")
+        chosen = chosen.select(
+            F.col("bucket").alias("pivot_bucket"),
+            F.col("id").alias("pivot"),
+            F.col("label").alias("pivot_label"),
+            *([F.col("trait").alias("pivot_trait")] if carried or known_traits else []),
+        )
+        meet = (F.col("bucket") == F.col("pivot_bucket")) & (F.col("label") != F.col("pivot_label"))
+        if carried or known_traits:
             meet &= possible(F.col("trait"), F.col("pivot_trait"))
         pairs = stored(
-            described.join(chosen.drop("id"), meet)
+            described.join(chosen, meet)
             .select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
             .distinct()
         )
         tested, rounds = pivots, rounds + 1
-        if not rows.take(1):
-            break
         release(rows)
         if not pairs.take(1):
             continue
         found = stored(verify(pairs).select(F.col("a").alias("u"), F.col("b").alias("v")))
         release(pairs)
         if found.take(1):
-            edges = edges.union(found)
-            labels = components(edges)
-    return labels
+            # what is tied so far stands for all links before
+            older, tied = tied, stars(tied.union(found))
+            release(older)
+        release(found)
+    return with_roots(tied)

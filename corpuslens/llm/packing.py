@@ -68,6 +68,25 @@ def read_ranks(definition: str) -> dict[bytes, int]:
     return {bytes(table[c] for c in token): vocabulary[token] for token in chosen}
 
 
+def read_added(definition: str) -> dict[str, int]:
+    """Added tokens, which a text holds as they stand, by their content. Settings that are not handled raise."""
+    whole = json.loads(definition)
+    split = whole.get("pre_tokenizer") or {}
+    model = whole["model"]
+    plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space", True) and split.get("use_regex", True)
+    changed = [k for k in ("normalizer", "truncation", "padding") if whole.get(k)]
+    changed += [
+        k
+        for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+        if model.get(k)
+    ]
+    added = whole.get("added_tokens") or []
+    changed += [k for t in added for k in ("single_word", "lstrip", "rstrip") if t.get(k)]
+    if changed or not plain:
+        raise ValueError(f"settings of the tokenizer that are not handled: {changed or ['pre_tokenizer']}")
+    return {t["content"]: t["id"] for t in added if t["content"]}
+
+
 class WordEncoder:
     """Ids as little-endian 32-bit words, looked up by the words into which the model splits a text."""
 
@@ -76,10 +95,20 @@ class WordEncoder:
             "words", pat_str=r"[\s\S]+", mergeable_ranks=read_ranks(definition), special_tokens={}
         )
         self.split = regex.compile(SPLIT)
+        self.added = {t: array("I", [i]).tobytes() for t, i in read_added(definition).items()}
+        # of tokens that begin alike the longest, as in the library
+        longest = sorted(map(re.escape, self.added), key=len, reverse=True)
+        self.parts = re.compile(f"({'|'.join(longest)})") if longest else None
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
+        if self.parts is None or not any(token in text for token in self.added):
+            return self._encode_plain(text)
+        parts = self.parts.split(text)  # every second one is an added token
+        return b"".join([self.added[p] if i % 2 else self._encode_plain(p) for i, p in enumerate(parts)])
+
+    def _encode_plain(self, text: str) -> bytes:
         known, learn = self.words, self._learn
         split = self.split if OTHER_CHARACTER.search(text) else PLAIN_SPLIT
         return b"".join([known.get(word) or learn(word) for word in split.findall(text)])

@@ -115,6 +115,19 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty, BYTES).count() == 0
 
 
+def test_added_tokens_as_the_library():
+    theirs = Tokenizer.from_str(BYTES)
+    mine = packing.WordEncoder(BYTES)
+    end = "<|endoftext|>"
+    for text in (f"a{end}b", end, f"{end}{end} x", f"one two {end} three\n{end}", "<|endoftext| >", f"é🎉{end}é"):
+        ids = theirs.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(mine.encode(text), "<u4").tolist() == ids
+    model = json.loads(BYTES)
+    for changed in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}):
+        with pytest.raises(ValueError):
+            packing.WordEncoder(json.dumps(model | changed))
+
+
 def test_packing_is_best_fit_decreasing():
     drawn = random.Random(5)
     lengths = [drawn.randint(1, 100) for _ in range(500)]

@@ -4,8 +4,9 @@ Three shapes are matched as they stand: values assigned to names such as ``passw
 and long hexadecimal strings. Beside them, candidate strings of each character class are read by a
 window of fixed width. The counts of its characters change by one in and one out per step, and with
 them the sum from which Shannon's entropy follows; stretches of windows at or above the class's bar
-are findings. Allow-listed candidates (plain words, ids in UUID form, dates and numbers, examples and
-placeholders, paths and host names, runs of one character) are left out, and so is what a known shape covers.
+are findings. Allow-listed candidates (plain words, ids in UUID form, dates and numbers, paths and host
+names, runs of one character) are left out, and so are the markers of examples and placeholders, but not
+what stands beside them, and what a known shape covers.
 
 Everything is column expressions within the row. Positions are code points, ends exclusive.
 Results: one row per row; null and empty texts have no findings. Matches of one kind do not overlap.
@@ -47,15 +48,18 @@ CLASSES = [
         3.7,
     ),
 ]
+#: A word of one case, with a leading capital, or in camel case with several letters a part.
+WORD = r"([A-Z]?[a-z]{1,20}|[A-Z]{1,20}|[A-Z]?[a-z]{2,20}([A-Z][a-z]{2,20})+)"
 #: Candidates left alone, whole matches.
 ALLOWED = [
-    r"[A-Z]?[a-z]+|[A-Z]+",  # a word
-    r"([A-Za-z]+[-_/=+])*[A-Za-z]+[-_/=+]*",  # words joined by signs
+    rf"[-_/=+]*({WORD}[-_/=+]+)*{WORD}[-_/=+]*",  # a word, or words joined by signs
     r"[0-9+/=_-]+",  # numbers, dates, rules
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # UUID
-    r"(?i).*(example|sample|placeholder|changeme|dummy|xxxx).*",
     r"/?([a-z0-9._-]{1,15}/)+[a-z0-9._-]{0,15}",  # a path
 ]
+#: Left alone wherever it stands; what stands beside it in a candidate is read on its own.
+MARKER = r"(?i:example|sample|placeholder|changeme|dummy|x{4,})"
+MARKER_OR_BESIDE = rf"{MARKER}|(?:(?!{MARKER})[A-Za-z0-9+/=_-])+"
 
 
 def matches(text: Column, shape: str) -> Column:
@@ -97,6 +101,26 @@ def allowed(match: Column) -> Column:
     return match.rlike("^(" + "|".join(f"({shape})" for shape in ALLOWED) + ")$")
 
 
+def without_markers(found: Column) -> Column:
+    """Matches, those that hold a marker cut into what lies beside it, as far as a window fits."""
+
+    def beside(m: Column) -> Column:
+        parts = F.filter(
+            matches(m["match"], MARKER_OR_BESIDE),
+            lambda p: (F.length(p["match"]) >= WIDTH) & ~p["match"].rlike(MARKER),
+        )
+        return F.transform(
+            parts,
+            lambda p: F.struct(
+                (m["start"] + p["start"]).alias("start"),
+                (m["start"] + p["end"]).alias("end"),
+                p["match"].alias("match"),
+            ),
+        )
+
+    return F.flatten(F.transform(found, lambda m: F.when(m["match"].rlike(MARKER), beside(m)).otherwise(F.array(m))))
+
+
 def term(count: Column) -> Column:
     """c * log2(c) for a count from 0 to the window's width."""
     table = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(WIDTH + 1)])
@@ -166,7 +190,7 @@ def high_windows(candidate: Column, klass: CharacterClass) -> Column:
 
 def entropy_spans(found: Column, klass: CharacterClass, known: Column) -> Column:
     """Spans of high entropy in candidates that are not allowed, less those a known span covers."""
-    candidates = F.filter(found, lambda m: ~allowed(m["match"]))
+    candidates = F.filter(without_markers(found), lambda m: ~allowed(m["match"]))
     spans = F.flatten(
         F.transform(
             candidates,

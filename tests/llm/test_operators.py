@@ -328,6 +328,25 @@ def test_secrets(spark, docs, empty):
     assert secret_scan.find_secrets(empty).count() == 0
 
 
+def test_secrets_of_letters_and_beside_markers(spark):
+    texts = {
+        "a qWxZkLmNpRtYvBcHgFdSaJeQoUiTzMnX b": "a [SECRET] b",
+        "a qwxzklmnprtyvbchgfdsajeqouitzmnx b": "a [SECRET] b",
+        "sample_key=zK8f3LmQ92xVbTr7WpYs5NcD1hG": None,
+        "an_example_of_words_joined_by_signs, someCamelCaseNameOfAClass": None,
+        "thisIsPlainCamelCaseText and/or/some/More/Words-of-one-text": "thisIsPlainCamelCaseText and/or/some/More/Words-of-one-text",
+        "xxxxxxxxxxxxxxxxxxxxxxxxxxxxxx": "xxxxxxxxxxxxxxxxxxxxxxxxxxxxxx",
+    }
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    clean = secret_scan.redacted(F.col("text"), F.col("spans")).alias("clean")
+    found = {r["text"]: r["clean"] for r in secret_scan.find_secrets(rows).select("text", clean).collect()}
+    for text, due in texts.items():
+        assert due is None or found[text] == due
+    held = found["sample_key=zK8f3LmQ92xVbTr7WpYs5NcD1hG"]
+    assert held.startswith("sample") and held.endswith("[SECRET]") and "WpYs" not in held and "zK8f" not in held
+    assert found["an_example_of_words_joined_by_signs, someCamelCaseNameOfAClass"].startswith("an_example_of_words_")
+
+
 def test_window_entropy_as_brute_force(spark):
     drawn = random.Random(4)
     klass = secret_scan.CLASSES[1]

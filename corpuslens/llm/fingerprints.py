@@ -3,7 +3,11 @@
 Terms whose inverse document frequency lies in a band make the lexicon. A text's distinct terms from
 the lexicon are sorted, and for each of several random subsets of the lexicon those that belong to
 the subset are hashed together. Two texts are alike to the share of equal subset hashes, of the
-subsets from which either has a term. Subsets are of several sizes: small ones outlast larger edits.
+subsets from which either has a term. Every subset is a chain of nested ones, each half as large as the
+one before it, and a text takes the link that holds about one of its terms, so a long text's subsets
+outlast as large an edit as a short one's. It keeps ``FURTHER`` smaller links too, and two
+texts are compared at the first link that both have; those without one differ in terms by a factor of about
+ten and are not alike.
 
 All of it is column expressions. The lexicon is a bounded table: where the band holds more than
 ``LEXICON_TERMS`` terms, its rare end is raised until it does not. It goes with the plan as a constant
@@ -25,8 +29,11 @@ from corpuslens.plans.storage import stored
 
 LEAST_IDF, MOST_IDF = 1.5, 7.0
 LEXICON_TERMS = 32_768
-#: Shares of the lexicon in the subsets; each share is drawn anew for every subset.
-SHARES = [1 / 8, 1 / 16, 1 / 32, 1 / 64, 1 / 64, 1 / 128, 1 / 128, 1 / 256] * 4
+#: Chains of nested subsets, the first link that texts take and the last; a link is half of the one before it.
+#: The links before the first would let one new term touch every subset of a very short text.
+SUBSETS, LEAST_LINK, LINKS = 32, 3, 30
+#: Further links a text keeps, to be compared with texts of more terms.
+FURTHER = 3
 ROWS_PER_PART, MOST_PARTS = 4_000, 50_000
 
 
@@ -68,36 +75,60 @@ def buckets(lexicon: DataFrame) -> tuple[Column, int]:
     return F.from_json(F.lit(written), "array<array<bigint>>"), count
 
 
-def parts(text: Column, table: Column, count: int) -> tuple[Column, Column]:
-    """(sorted terms of a text, their subset hashes), null where it has no term of the subset."""
+def parts(text: Column, table: Column, count: int) -> tuple[Column, ...]:
+    """(sorted terms of a text, link, terms by subset, (link, own hashes, hashes by link)), each from those before;
+    a hash is null without a term of the subset."""
     known = F.sort_array(
         F.filter(terms(text), lambda t: F.array_contains(F.get(table, F.pmod(t, F.lit(count)).cast("int")), t))
     )
-    limits = F.array(*[F.lit(int(share * (1 << 20))) for share in SHARES])
+    size = F.size("known")
+    # the power of two nearest to the number of terms, so that a link holds one or a little more or less
+    nearest = F.when(size > 0, F.round(F.log2(size.cast("double"))).cast("int")).otherwise(0)
+    link = F.greatest(nearest, F.lit(LEAST_LINK))
 
-    def part(limit: Column, k: Column) -> Column:
-        chosen = F.filter(F.col("known"), lambda t: F.xxhash64(t, k).bitwiseAND((1 << 20) - 1) < limit)
-        return F.when(F.size(chosen) > 0, F.xxhash64(chosen))
+    def chosen(among: Column, k: Column, level: Column) -> Column:
+        limit = F.call_function("shiftright", F.lit(1 << LINKS), F.least(level, F.lit(LINKS)))
+        return F.filter(among, lambda t: F.xxhash64(t, k).bitwiseAND((1 << LINKS) - 1) < limit)
 
-    return known, F.transform(limits, part)
+    def hash_of(found: Column) -> Column:
+        return F.when(F.size(found) > 0, F.xxhash64(found))
+
+    own = F.transform(
+        F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda k: chosen(F.col("known"), k, F.col("link"))
+    )
+    further = [
+        F.transform(F.col("own"), lambda found, k: hash_of(chosen(found, k, F.col("link") + d)))
+        for d in range(1, FURTHER + 1)
+    ]
+    own_hashes = F.transform(F.col("own"), hash_of)
+    hashes = F.struct(F.col("link"), own_hashes.alias("own"), F.array(own_hashes, *further).alias("links"))
+    return known, link, own, hashes
 
 
 def with_parts(rows: DataFrame, text: str, name: str, table: Column, count: int) -> DataFrame:
-    known, hashes = parts(F.col(text), table, count)
-    return rows.withColumn("known", known).withColumn(name, hashes).drop("known")
+    known, link, own, hashes = parts(F.col(text), table, count)
+    found = rows.withColumn("known", known).withColumn("link", link).withColumn("own", own)
+    return found.withColumn(name, hashes).drop("known", "link", "own")
 
 
 def fingerprint(hashes: Column, text: Column) -> Column:
-    written = F.array_join(F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "", "-")
-    return F.when(F.exists(hashes, lambda h: h.isNotNull()), written).otherwise(F.md5(text))
+    own = hashes["own"]
+    written = F.array_join(F.transform(own, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "", "-")
+    return F.when(F.exists(own, lambda h: h.isNotNull()), written).otherwise(F.md5(text))
 
 
 def likeness(mine: Column, others: Column, left: Column, right: Column) -> Column:
     """Share of equal hashes among the subsets that either has; 1 for equal fingerprints."""
-    pairs = F.arrays_zip(mine.alias("a"), others.alias("b"))
+
+    def at(side: Column, link: Column) -> Column:
+        return F.get(side["links"], link - side["link"])
+
+    link = F.greatest(mine["link"], others["link"])
+    pairs = F.arrays_zip(at(mine, link).alias("a"), at(others, link).alias("b"))
     equal = F.size(F.filter(pairs, lambda p: p["a"] == p["b"]))
     either = F.size(F.filter(pairs, lambda p: p["a"].isNotNull() | p["b"].isNotNull()))
-    share = F.when(either > 0, equal / either).otherwise(0.0)
+    common = F.abs(mine["link"] - others["link"]) <= FURTHER
+    share = F.when(common & (either > 0), equal / either).otherwise(0.0)
     return F.when(left == right, 1.0).otherwise(share)
 
 

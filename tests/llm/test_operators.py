@@ -277,6 +277,20 @@ def test_fingerprints(docs, empty):
     assert fingerprints.compare_edits(empty).count() == 0
 
 
+def test_edits_of_a_quarter_are_near_at_any_length(spark):
+    drawn = random.Random(9)
+    names = [f"term{i}" for i in range(4000)]
+    sizes = [12, 40, 150, 600, 1800] * 24
+    texts = [" ".join(drawn.sample(names, n)) for n in sizes]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = by_id(fingerprints.compare_edits(rows))
+    for n in (40, 150, 600, 1800):
+        near = [found[i]["near_edited"] for i, size in enumerate(sizes) if size == n]
+        other = [found[i]["near_next"] for i, size in enumerate(sizes) if size == n]
+        assert sum(near) / len(near) > 0.25, n
+        assert sum(x == 0 for x in near) <= 1 and sum(other) < 0.5 * sum(near), n
+
+
 def test_next_over_many_stretches(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "ROWS_PER_PART", 7)
     rows = spark.createDataFrame([(i * 3, f"t{i}") for i in range(200)], "key bigint, text string")

@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpuslens.llm import (
     fingerprints,
     line_dedup,
     near_dups,
+    negatives,
     neighbours,
     packing,
+    personal,
+    phrases,
     pieces,
     quality,
     secret_scan,
@@ -114,6 +117,33 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the id is divisible by 7 the label is moved on by one, so that some labels are wrong."""
+    number = F.col("label").cast("bigint")
+    moved = F.when(F.col("vec_id") % 7 == 0, (number + 1) % 10).otherwise(number)
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return negatives.mine_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.find_personal(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count_of(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint")
+
+    return found.select(
+        "doc_id",
+        *[count_of(kind).alias(f"n_{kind}") for kind in personal.BASE_KINDS],
+        F.sha2(personal.written(base).cast("binary"), 256).alias("base_sha256"),
+        personal.written(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -127,5 +157,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_near_dups,
         op9_line_dedup,
         op10_toxicity,
+        op11_negatives,
+        op12_phrases,
+        op13_personal,
     )
 }

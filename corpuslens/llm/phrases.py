@@ -1,7 +1,7 @@
 """Collocations from mergeable Misra-Gries summaries and an exact second pass.
 
 A text is split into pieces, those into words; phrases are runs of words within a piece. The first pass counts
-hashes of all phrases in segments of about ``SEGMENT`` words. A segment's counts are a summary without error.
+hashes of all phrases in segments of about ``SEGMENT`` bytes. A segment's counts are a summary without error.
 Hashes are dealt to hash partitions, about ``PARTITION_MASS`` occurrences each, and in each partition the
 summaries are merged: counters are added up and, if they are more than the capacity, lowered by the first
 one that is too many. The capacity is the partition's mass divided by the least count, rounded down, plus
@@ -26,44 +26,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpuslens.plans.lookups import lookup_join
 from corpuslens.plans.storage import stored
 
-SEGMENT = 1_000_000
+#: Bytes of text that are counted at once, and words that are hashed at once.
+SEGMENT, WORDS_AT_ONCE = 8_000_000, 400_000
 PARTITION_MASS = 4_000_000
 #: Letters of text for a phrase's occurrence, about; only the number of hash partitions follows from it.
 CHARS_PER_PHRASE = 2
 BITMAP_BITS = 27
 BUCKET_BITS = 15  # of Spark's bitmap functions
-CACHED_WORDS = 300_000
 #: What ends a piece. Words are separated by spaces and tabs.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
-#: A byte that is in no UTF-8 text stands between pieces.
-GAP = b"\xff"
-READ = bytes.maketrans(PIECE_ENDS + b"\t", GAP * len(PIECE_ENDS) + b" ")
+#: A byte that is in no UTF-8 text stands for the end of a piece.
+GAP, SPACE = 0xFF, 0x20
+READ = bytes.maketrans(PIECE_ENDS + b"\t", bytes([GAP]) * len(PIECE_ENDS) + b" ")
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
+BASES = np.array([0x5851F42D4C957F2D, 0xD1342543DE82EF95], np.uint64)
 COUNT = "decimal(16,0)"
 
 
-class WordHashes(dict):
-    """Hashes of words, a bounded list of them kept; 0 is left to gaps."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        value = self[word] = 0 if word == GAP else xxhash.xxh64_intdigest(word, 41) | 1
-        return value
-
-
-_hashes = WordHashes()
-
-
-def words_of(text: str) -> list[bytes]:
-    """Words in lower case (A-Z only), a gap between pieces and after the last."""
-    return text.encode().lower().translate(READ).replace(GAP, b" \xff ").split() + [GAP]
+def read(text: str) -> bytes:
+    """A text in lower case (A-Z only), with gaps for the ends of pieces and spaces for tabs."""
+    return text.encode().lower().translate(READ)
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -71,40 +60,63 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(29))
 
 
-class Segment:
-    """Texts of some languages as one list of words, and the hashes of all phrases in it."""
+def word_hashes(letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64 bits for each word, from the bytes of all words in a row: two polynomials, mixed."""
+    out = np.zeros(len(sizes), np.uint64)
+    powers = np.ones((len(BASES), int(sizes.max(initial=0)) + 1), np.uint64)
+    for row, base in zip(powers, BASES):
+        row[1:] = base
+        np.multiply.accumulate(row, out=row)
+    ends = np.cumsum(sizes)
+    for at in range(0, len(sizes), WORDS_AT_ONCE):
+        part = slice(at, at + WORDS_AT_ONCE)
+        first, last = ends[at] - sizes[at], ends[part][-1]
+        starts = ends[part] - sizes[part] - first
+        place = np.arange(last - first) - np.repeat(starts, sizes[part])
+        values = letters[first:last].astype(np.uint64) + np.uint64(1)
+        for row in powers:
+            out[part] = mixed(out[part] + np.add.reduceat(values * row[place], starts))
+    return out
+
 
-    def __init__(self, texts: list[tuple[str, list[bytes]]]):
-        known = _hashes
-        self.words = [word for _, words in texts for word in words]
-        self.hashes = np.array([known[word] for word in self.words], np.uint64)
+class Segment:
+    """Texts as arrays: the words' bytes, sizes and hashes, each word's piece and language."""
+
+    def __init__(self, texts: list[tuple[str, bytes]]):
+        whole = np.frombuffer(bytes([GAP]).join([t for _, t in texts]) + b" ", np.uint8)
+        in_word = (whole != SPACE) & (whole != GAP)
+        turns = np.flatnonzero(np.diff(in_word, prepend=False))
+        starts, self.sizes = turns[::2], turns[1::2] - turns[::2]
+        self.letters = whole[in_word]
+        self.hashes = word_hashes(self.letters, self.sizes)
+        gaps = np.flatnonzero(whole == GAP)
+        self.piece = np.searchsorted(gaps, starts)
         self.languages = sorted({language for language, _ in texts})
         numbers = {language: i for i, language in enumerate(self.languages)}
-        sizes = [len(words) for _, words in texts]
-        self.language = np.repeat([numbers[language] for language, _ in texts], sizes)
+        ends = np.cumsum([len(t) + 1 for _, t in texts])
+        of_text = np.array([numbers[language] for language, _ in texts])
+        self.language = of_text[np.searchsorted(ends, starts, side="right")]
         seeds = np.array([xxhash.xxh64_intdigest(x.encode(), 43) for x in self.languages], np.uint64)
         self.seeds = seeds[self.language]
 
-    def totals(self) -> list[tuple[str, int]]:
+    def totals(self) -> np.ndarray:
         """Words of each language."""
-        counts = np.bincount(self.language[self.hashes != 0], minlength=len(self.languages))
-        return list(zip(self.languages, counts.tolist()))
+        return np.bincount(self.language, minlength=len(self.languages))
 
     def phrases(self, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(number of words, places, hashes) of all phrases, by length."""
-        value, fine = self.seeds, np.ones(len(self.words), bool)
+        value = self.seeds
         for n in range(1, most + 1):
-            size = len(self.words) - n + 1
-            if size <= 0:
-                return
-            last = self.hashes[n - 1 :]
-            fine = fine[:size] & (last != 0)
-            value = mixed(value[:size] * SPREAD + last)
-            places = np.flatnonzero(fine)
+            size = max(len(self.sizes) - n + 1, 0)
+            value = mixed(value[:size] * SPREAD + self.hashes[n - 1 : n - 1 + size])
+            places = np.flatnonzero(self.piece[:size] == self.piece[n - 1 : n - 1 + size])
             yield n, places, value[places]
 
-    def text(self, place: int, n: int) -> str:
-        return b" ".join(self.words[place : place + n]).decode()
+    def words(self) -> pa.Array:
+        offsets = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
+        return pa.LargeStringArray.from_buffers(
+            len(self.sizes), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(self.letters))
+        )
 
 
 def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[Segment]:
@@ -112,9 +124,8 @@ def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[Segment]:
     texts, size = [], 0
     for batch in batches:
         for language, text in zip(*(c.to_pylist() for c in batch.columns)):
-            words = words_of(text)
-            texts.append((language, words))
-            size += len(words)
+            texts.append((language, read(text)))
+            size += len(texts[-1][1])
             if size >= SEGMENT:
                 yield Segment(texts)
                 texts, size = [], 0
@@ -235,17 +246,21 @@ def counted(texts: DataFrame, most: int, partitions: int, candidates: bytes, lea
     def work(batches: Iterator[pa.RecordBatch]):
         bits = np.frombuffer(shared.value, np.uint8)
         for segment in segments(batches):
-            rows = [(language, 0, "", n) for language, n in segment.totals()]
+            names, words = pa.array(segment.languages), segment.words()
+            totals = segment.totals()
+            yield rows(names, 0, pa.array([""] * len(names)), totals)
             for n, places, values in segment.phrases(most):
                 at = bits_of(*slots(values, partitions))
                 chosen = (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
                 _, firsts, counts = np.unique(values[chosen], return_index=True, return_counts=True)
-                for place, count in zip(places[chosen][firsts].tolist(), counts.tolist()):
-                    language = segment.languages[segment.language[place]]
-                    rows.append((language, n, segment.text(place, n), count))
-            kinds = [pa.string(), pa.int32(), pa.string(), pa.int64()]
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
-            yield pa.RecordBatch.from_arrays(columns, names=["language", "words", "phrase", "f"])
+                places = places[chosen][firsts]
+                joined = [words.take(pa.array(places + i)) for i in range(n)]
+                phrase = pc.binary_join_element_wise(*joined, pa.scalar(" ", pa.large_string())) if n > 1 else joined[0]
+                yield rows(names.take(pa.array(segment.language[places])), n, phrase, counts)
+
+    def rows(language: pa.Array, n: int, phrase: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+        columns = [language, pa.array(np.full(len(counts), n, np.int32)), phrase.cast(pa.string()), pa.array(counts)]
+        return pa.RecordBatch.from_arrays(columns, names=["language", "words", "phrase", "f"])
 
     found = texts.mapInArrow(work, "language string, words int, phrase string, f bigint")
     summed = found.groupBy("language", "words", "phrase").agg(F.sum("f").alias("f"))

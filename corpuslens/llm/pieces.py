@@ -198,10 +198,8 @@ class Codec:
         """Ids of a word. Words used since the last change of lists outlive the next one."""
         known = self.words[opens]
         ids = known.get(word) or self.older_words[opens].get(word)
-        if ids is None and len(word) > 2 and word[-2:] not in self.joined:
-            ids = (*self._word(word[:-1], opens), *self.encode_run(word[-1]))
-        elif ids is None:
-            ids = tuple(self.encode_run(word if opens else SPACE + word))
+        if ids is None:
+            ids = tuple(self._parts(word if opens else SPACE + word))
         if len(word) <= CACHED_CHARS:
             known[word] = ids
             if len(known) >= CACHED_WORDS:
@@ -210,6 +208,15 @@ class Codec:
                 known.clear()
         return ids
 
+    def _parts(self, run: str) -> Iterator[int]:
+        """Ids of a run, cut wherever two neighbours stand together in no piece."""
+        joined, start = self.joined, 0
+        for i in range(1, len(run)):
+            if run[i - 1 : i + 1] not in joined:
+                yield from self.encode_run(run[start:i])
+                start = i
+        yield from self.encode_run(run[start:])
+
     def decode(self, ids: list[int]) -> str:
         """The text of the ids; the space put before the first word is taken away again."""
         if self.byte_of.keys().isdisjoint(ids):

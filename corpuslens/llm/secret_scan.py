@@ -49,17 +49,18 @@ CLASSES = [
     ),
 ]
 #: A word of one case, with a leading capital, or in camel case with several letters a part.
-WORD = r"([A-Z]?[a-z]{1,20}|[A-Z]{1,20}|[A-Z]?[a-z]{2,20}([A-Z][a-z]{2,20})+)"
-#: Candidates left alone, whole matches.
+WORD = r"(?:[A-Z]?[a-z]{2,20}(?:[A-Z][a-z]{2,20})++|[A-Z]?[a-z]{1,20}|[A-Z]{1,20})(?=[-_/=+]|$)"
+#: Candidates left alone, whole matches. Repeated groups are possessive, which Java matches in a loop:
+#: otherwise its stack would grow with the length of the text.
 ALLOWED = [
-    rf"[-_/=+]*({WORD}[-_/=+]+)*{WORD}[-_/=+]*",  # a word, or words joined by signs
-    r"[0-9+/=_-]+",  # numbers, dates, rules
-    r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # UUID
-    r"/?([a-z0-9._-]{1,15}/)+[a-z0-9._-]{0,15}",  # a path
+    rf"[-_/=+]*+{WORD}(?:[-_/=+]++{WORD})*+[-_/=+]*+",  # a word, or words joined by signs
+    r"[0-9+/=_-]++",  # numbers, dates, rules
+    r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # UUID
+    r"/?(?:[a-z0-9._-]{1,15}/)++[a-z0-9._-]{0,15}",  # a path
 ]
 #: Left alone wherever it stands; what stands beside it in a candidate is read on its own.
 MARKER = r"(?i:example|sample|placeholder|changeme|dummy|x{4,})"
-MARKER_OR_BESIDE = rf"{MARKER}|(?:(?!{MARKER})[A-Za-z0-9+/=_-])+"
+MARKER_OR_BESIDE = rf"{MARKER}|(?:(?!{MARKER})[A-Za-z0-9+/=_-])++"
 
 
 def matches(text: Column, shape: str) -> Column:
@@ -98,7 +99,7 @@ def known_spans(kind: str, found: Column) -> Column:
 
 
 def allowed(match: Column) -> Column:
-    return match.rlike("^(" + "|".join(f"({shape})" for shape in ALLOWED) + ")$")
+    return match.rlike("^(?:" + "|".join(f"(?:{shape})" for shape in ALLOWED) + ")$")
 
 
 def without_markers(found: Column) -> Column:

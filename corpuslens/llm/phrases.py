@@ -34,8 +34,8 @@ from corpuslens.plans.lookups import lookup_join
 from corpuslens.plans.storage import stored
 
 #: Bytes of text that are counted at once, and words that are hashed at once.
-SEGMENT, WORDS_AT_ONCE = 8_000_000, 400_000
-PARTITION_MASS = 4_000_000
+SEGMENT, WORDS_AT_ONCE = 4_000_000, 200_000
+PARTITION_MASS = 2_000_000
 #: Letters of text for a phrase's occurrence, about; only the number of hash partitions follows from it.
 CHARS_PER_PHRASE = 2
 BITMAP_BITS = 27
@@ -139,6 +139,11 @@ def slots(hashes: np.ndarray, partitions: int) -> tuple[np.ndarray, np.ndarray]:
     return (high % np.uint64(partitions)).astype(np.int64), low
 
 
+def packed_slots(hashes: np.ndarray, partitions: int) -> np.ndarray:
+    part, keys = slots(hashes, partitions)
+    return part.astype(np.uint64) << np.uint64(32) | keys
+
+
 def bits_of(partition: np.ndarray | int, keys: np.ndarray) -> np.ndarray:
     """Places in the bitmap."""
     turned = mixed(keys.astype(np.uint64) * SPREAD + np.uint64(1) * np.asarray(partition, np.uint64))
@@ -182,9 +187,8 @@ def summaries(texts: DataFrame, most: int, partitions: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]):
         for segment in segments(batches):
-            found = [values for _, _, values in segment.phrases(most)]
-            part, keys = slots(np.concatenate(found), partitions)
-            packed = np.sort(part.astype(np.uint64) << np.uint64(32) | keys)
+            packed = np.concatenate([packed_slots(values, partitions) for _, _, values in segment.phrases(most)])
+            packed.sort()
             starts = np.flatnonzero(np.diff(packed, prepend=packed[:1] ^ np.uint64(1)))
             counts = np.diff(starts, append=len(packed))
             packed = packed[starts]

@@ -13,7 +13,7 @@ result is exact whatever the first pass let through. Beyond about 10^8 survivors
 more and the second pass carries more rows.
 
 Scores are whole numbers in decimal arithmetic. Frequent phrases are joined with their parts, which are
-frequent themselves; a part that stands in very many phrases is spread by a salt.
+frequent themselves. A part that stands in very many phrases makes a skewed join, which Spark splits as it runs.
 
 Results: null and empty texts have no words; repeated rows count each. A null language is named. A language
 without words, or without a phrase that is frequent enough, has no rows. A count above 10^16 raises. Ties go as
@@ -30,7 +30,6 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpuslens.plans.lookups import lookup_join
 from corpuslens.plans.storage import stored
 
 #: Bytes of text that are counted at once, and words that are hashed at once.
@@ -306,8 +305,7 @@ def with_scores(phrases: DataFrame, most: int) -> DataFrame:
     )
     for side, name in (("left", "l"), ("right", "r")):
         parts = known.select("language", F.col("phrase").alias(side), F.col("f").alias(name))
-        cuts = lookup_join(cuts, parts, ["language", side], salt_by=["phrase", "k"])
-    a, l, r = (F.col(c).cast(COUNT) for c in ("a", "l", "r"))
+        cuts = cuts.join(parts, ["language", side])
     score = F.expr(f"(1000000 * (cast(a as {COUNT}) * cast(a as {COUNT}))) div (cast(l as {COUNT}) * cast(r as {COUNT}))")
     cuts = cuts.withColumn("score", score)
     lowest = F.min(F.struct("score", "k", "l", "r")).alias("cut")

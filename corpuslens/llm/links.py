@@ -79,6 +79,7 @@ def group_candidates(
     possible: Callable[[Column, Column], Column] | None = None,
     traits_from: int = 0,
     pivots_to: Sequence[int] = PIVOTS,
+    first: Callable[[Column, Column], Column] | None = None,
 ) -> DataFrame:
     """(id, component) of all ids that have a link, from (bucket, id, n) as ``crowded`` gives them
     (stored, and used up here). Every bucket's first ``pivots_to`` members are pivots, round by round.
@@ -86,7 +87,8 @@ def group_candidates(
     ``verify`` takes distinct pairs (a, b) with a < b and returns those that are links. ``known`` are
     links (u, v) that need no test. ``traits`` gives (id, trait) of the ids in a round, from the round
     numbered ``traits_from``, or ``shared`` has a column ``trait``, if it is small; ``possible`` says of
-    two traits whether a link can be at all; what it rules out within the join of a bucket is no pair.
+    two traits whether a link can be at all; what it rules out within the join of a bucket is no pair. ``first``
+    gives the first bucket that two ids share, from their traits: there alone they make a pair.
     """
     spark = shared.sparkSession
     kind = shared.schema["id"].dataType.simpleString()
@@ -126,9 +128,15 @@ def group_candidates(
             F.col("bucket").alias("pivot_bucket"),
             F.col("id").alias("pivot"),
             F.col("label").alias("pivot_label"),
+            F.col("weight").alias("pivot_weight"),
             *([F.col("trait").alias("pivot_trait")] if carried or known_traits else []),
         )
         meet = (F.col("bucket") == F.col("pivot_bucket")) & (F.col("label") != F.col("pivot_label"))
+        # a member that ranks before the pivot has been one itself, now or in a round before
+        ahead = (F.col("pivot_weight") == F.col("weight")) & (F.col("pivot") < F.col("id"))
+        meet &= (F.col("pivot_weight") > F.col("weight")) | ahead
+        if first and known_traits:
+            meet &= first(F.col("trait"), F.col("pivot_trait")) == F.col("bucket")
         if carried or known_traits:
             meet &= possible(F.col("trait"), F.col("pivot_trait"))
         pairs = stored(

@@ -215,7 +215,8 @@ def group_documents(
         F.sequence(F.lit(0), F.lit(like.bands - 1)),
         lambda i: F.xxhash64(i, F.slice("signature", i * width + 1, F.lit(width))),
     )
-    members = crowded(reps.select("id", F.explode(bands).alias("bucket")))
+    banded = reps.select("id", bands.alias("bands"))
+    members = crowded(banded.select("id", F.explode("bands").alias("bucket")))
     candidates = stored(members.select("id").distinct())
     few = fits_broadcast(candidates)
     chosen = F.broadcast(candidates) if few else candidates
@@ -233,7 +234,12 @@ def group_documents(
         return full.where(100 * common >= like.percent * union).select("a", "b").distinct()
 
     def traits(ids: DataFrame) -> DataFrame:
-        return sketches(sets.join(ids, "id", "left_semi"))
+        found = sketches(sets.join(ids, "id", "left_semi")).join(banded, "id")
+        return found.select("id", F.col("trait").withField("bands", F.col("bands")).alias("trait"))
+
+    def first(a: Column, b: Column) -> Column:
+        common = F.filter(F.zip_with(a["bands"], b["bands"], lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
+        return F.get(common, F.lit(0))
 
     def possible(a: Column, b: Column) -> Column:
         """Sets of sizes and sketches that a pair at the threshold may have."""
@@ -250,7 +256,7 @@ def group_documents(
         .select(F.col("id").alias("u"), F.col("rep").alias("v"))
         .where(F.col("u") != F.col("v"))
     )
-    groups = group_candidates(members, verify, same_id, traits, possible, traits_from=1)
+    groups = group_candidates(members, verify, same_id, traits, possible, traits_from=1, first=first)
     # a class is as its representative; the class's key may hold a third of the rows
     found = classes.join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
         "set_key", F.coalesce("component", "rep").alias("component_id")

@@ -19,7 +19,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from corpuslens.llm.trees import SAMPLE_ROWS, bounded_sample, fit_trees, with_probability
 from corpuslens.plans.lookups import lookup_join
@@ -76,8 +76,8 @@ def with_features(rows: DataFrame) -> DataFrame:
                     names=[*kept, "features"],
                 )
 
-    fields = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in kept)
-    return rows.mapInArrow(work, f"{fields}features array<double>")
+    fields = [*[rows.schema[c] for c in kept], T.StructField("features", T.ArrayType(T.DoubleType()))]
+    return rows.mapInArrow(work, T.StructType(fields))
 
 
 def shrinkage(groups: DataFrame, own: Column, above: Column) -> float:

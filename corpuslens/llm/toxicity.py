@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from corpuslens.llm.trees import SAMPLE_ROWS, bounded_sample, fit_trees, with_probability
 from corpuslens.plans.storage import stored
@@ -134,8 +134,8 @@ def with_features(rows: DataFrame, lexicon: dict[str, float], text: str = "text"
                     names=[*kept, "features"],
                 )
 
-    fields = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in kept)
-    return chosen.mapInArrow(work, f"{fields}features array<double>")
+    fields = [*[rows.schema[c] for c in kept], T.StructField("features", T.ArrayType(T.DoubleType()))]
+    return chosen.mapInArrow(work, T.StructType(fields))
 
 
 def fit_toxicity(

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from corpuslens.llm.trees import SAMPLE_ROWS, bounded_sample, fit_trees, with_probability
 from corpuslens.plans.storage import stored
@@ -109,8 +109,8 @@ def with_features(rows: DataFrame, suffixes: DataFrame, prior: float) -> DataFra
                 names=[*batch.schema.names, "features"],
             )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ready.schema)
-    return ready.mapInArrow(work, f"{fields}, features array<double>").drop("share")
+    fields = [*ready.schema.fields, T.StructField("features", T.ArrayType(T.DoubleType()))]
+    return ready.mapInArrow(work, T.StructType(fields)).drop("share")
 
 
 @dataclass(frozen=True)

@@ -475,3 +475,27 @@ def test_quality(labelled):
     assert quality.score_quality(docs.where("doc_id < 0"), labels, "source", "lang").count() == 0
     alone = quality.score_quality(docs, labels.where("doc_id < 0"), "source", "lang")
     assert alone.where("kept").count() == 403
+
+
+LONG_RUNS = {
+    "words": "ab-", "paths": "abc/", "capitals": "AbCd_", "marker": "example-", "beside": "dummyq", "digits": "0123456789",
+    "base64": "aGVsbG8+", "ideographs": "日本語中文", "one": "x", "signs": "-_/=+",
+}
+
+
+def test_secrets_of_very_long_candidates(spark):
+    texts = [part * (200_000 // len(part)) for part in LONG_RUNS.values()]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r["doc_id"]: len(r["spans"]) for r in secret_scan.find_secrets(rows).select("doc_id", "spans").collect()}
+    by_name = dict(zip(LONG_RUNS, (found[i] for i in range(len(texts)))))
+    assert not any(by_name[n] for n in ("words", "paths", "marker", "digits", "ideographs", "one", "signs"))
+
+
+def test_pieces_of_very_long_runs_as_the_library():
+    codec = pieces.Codec(pieces.read_model(PIECES))
+    theirs = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    drawn = random.Random(5)
+    for signs in ("日本語中文字的一是不了人我在有他", "0123456789", "אבגדהוזחט", "🎉😀🚀", "x", " ", "ab日 "):
+        text = "".join(drawn.choice(signs) for _ in range(100_000))
+        ids = theirs.encode(text, add_eos=True)
+        assert codec.encode(text) == ids and codec.decode(ids) == theirs.decode(ids), signs

@@ -455,25 +455,33 @@ LEFT JOIN (
   GROUP BY field) USING (field)"""
 
 
-def document_statistics() -> tuple[str, ...]:
-    return (*BASE, *statistic_ctes("docs"))
+CORPUS_STATISTICS = (*BASE, *statistic_ctes("corpus"))
 
 
 def stream_scores() -> str:
-    ctes = list(document_statistics())
-    pattern = f"patterned AS (SELECT row_id, {first_pattern(PATTERN_GROUPS)} AS pattern FROM docs)"
-    found = f"everything AS (SELECT * FROM docs), {shapes()}"
+    pattern = f"patterned AS (SELECT row_id, field, {first_pattern(PATTERN_GROUPS)} AS pattern FROM corpus)"
+    found = f"everything AS (SELECT * FROM corpus), {shapes()}"
     return (
-        with_(*ctes, pattern, found)
+        with_(*CORPUS_STATISTICS, pattern, found)
         + """SELECT s.*, p.pattern, coalesce(n, 0)::INT AS n_entities FROM statistics s
-JOIN patterned p ON p.row_id = s.row_id
-LEFT JOIN (SELECT row_id, count(*) AS n FROM shapes GROUP BY row_id) e ON e.row_id = s.row_id"""
+JOIN patterned p USING (row_id, field)
+LEFT JOIN (SELECT row_id, field, count(*) AS n FROM shapes GROUP BY ALL) e USING (row_id, field)"""
     )
 
 
 def stream_summary() -> str:
     scores = f"scores AS ({unpivoted(METRICS)})"
-    return with_(*document_statistics(), scores) + SUMMARY
+    return with_(*CORPUS_STATISTICS, scores) + SUMMARY
+
+
+def stream_foreach_batch() -> str:
+    topics = [c for c in topic_ctes(t.TOPICS) if c not in (*BASE, TOK, WORDS)]
+    shingles = shingle_query("true", "injection")[len(with_(*BASE, TOK, *SHINGLES)) :]
+    return (
+        with_(*BASE, TOK, WORDS, *SENTIMENT, *TOXICITY, *topics, *SHINGLES, f"copied AS ({shingles})")
+        + """SELECT row_id, field, sentiment, toxicity, injection, topic FROM sentiment
+JOIN toxicity USING (row_id, field) JOIN copied USING (row_id, field) JOIN closest USING (row_id, field)"""
+    )
 
 
 def readability_wide() -> str:
@@ -519,6 +527,10 @@ FROM corpus c LEFT JOIN nearest USING (row_id, field)""",
     "similarity_dense": DENSE,
     "topic_closest": with_(*topic_ctes(t.TOPICS)) + "SELECT * FROM closest",
     "topic_custom": with_(*topic_ctes(t.CUSTOM_TOPICS)) + "SELECT * FROM closest",
+    "topic_terms": with_(*BASE, TOK, WORDS)
+    + f"""SELECT token, documents, {r6("ln((1 + n) / (1 + documents)) + 1")} AS idf
+FROM (SELECT token, count(DISTINCT (row_id, field)) AS documents FROM words GROUP BY token),
+  (SELECT count(*) AS n FROM tok WHERE len(t) > 0)""",
     "pattern_label": with_(*PATTERN_BASE, LABELLED) + "SELECT * FROM labelled_rows",
     "pattern_custom": with_(*PATTERN_BASE)
     + f"SELECT row_id, field, {first_pattern(t.CUSTOM_PATTERNS)} AS pattern FROM everything",
@@ -568,6 +580,5 @@ WHERE lang <> 'de' AND n_chars >= 1000 AND contains(text, 'on the')""",
     "table_page": PLAIN + " ORDER BY row_id LIMIT 10 OFFSET 20",
     "stream_scores": stream_scores(),
     "stream_summary": stream_summary(),
-    "stream_foreach_batch": with_(*BASE, TOK, WORDS, *SENTIMENT)
-    + "SELECT * FROM sentiment WHERE field = 'document'",
+    "stream_foreach_batch": stream_foreach_batch(),
 }

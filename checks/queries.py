@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from checks import tables as t
 from corpuslens.data.tables import lexicon_table, name_table, small_table
-from corpuslens.operators import entities, patterns, readability, similarity, summary, topics, views
+from corpuslens.operators import discovery, entities, patterns, readability, similarity, summary, topics, views
 from corpuslens.operators.longform import to_long, to_metrics
 from corpuslens.operators.sentiment import score_sentiment
-from corpuslens.operators.toxicity import learn_toxicity, score_toxicity
+from corpuslens.operators.toxicity import learn_toxicity, prepare_toxicity, score_toxicity
 from corpuslens.plans.session import materialize
 from corpuslens.plans.storage import shared_dir
 from corpuslens.sources import readers
@@ -179,8 +179,7 @@ def similarity_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def similarity_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = t.table(spark, sf_dir, "embeddings")
-    scores = similarity.lsh_similarity(vectors, ["vec_id"], t.centroids(spark, sf_dir))
-    return rounded(scores, "score")
+    return rounded(similarity.lsh_similarity(vectors, ["vec_id"], t.centroids(spark, sf_dir), ["theme"]), "theme")
 
 
 def _topics(spark: SparkSession, sf_dir: str, words: dict) -> DataFrame:
@@ -196,8 +195,13 @@ def topic_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_topics(spark, sf_dir, t.CUSTOM_TOPICS), "score")
 
 
+def topic_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = discovery.text_terms(t.corpus(spark, sf_dir), KEYS)
+    return rounded(discovery.term_statistics(texts), "idf")
+
+
 def topic_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(topics.discover_topics(t.corpus(spark, sf_dir)), "weight")
+    return rounded(discovery.discover_topics(t.corpus(spark, sf_dir), KEYS), "weight")
 
 
 def pattern_label(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -364,39 +368,72 @@ def table_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streaming
 
 DOCUMENT = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+PAIR = "row_id bigint, prompt string, response string"
 
 
-def document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cores = spark.sparkContext.defaultParallelism
-    stream = incremental.read_stream(
-        spark, f"{sf_dir}/documents*.parquet", DOCUMENT, partitions=cores
-    )
-    return stream.select(F.col("doc_id").alias("row_id"), F.lit("document").alias("field"), "text")
+def streams(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents, and the prompts and responses of pairs that arrive in files, some of them twice."""
+    documents = incremental.read_stream(spark, f"{sf_dir}/documents*.parquet", DOCUMENT)
+    documents = documents.select(F.col("doc_id").alias("row_id"), F.lit("document").alias("field"), "text")
+    path, rows = scratch(spark), plain_pairs(spark, sf_dir)
+    rows.write.parquet(path)
+    rows.where("row_id % 3 = 0").write.mode("append").parquet(path)
+    pairs = incremental.read_stream(spark, f"{path}/*.parquet", PAIR, files_per_batch=4)
+    return documents, incremental.pairs_to_long(pairs, KEYS)
+
+
+def run_all(start, *streamed: DataFrame) -> list[str]:
+    """The folders written by one query for each stream."""
+    outs = []
+    for stream in streamed:
+        outs.append(scratch(stream.sparkSession))
+        start(stream, outs[-1], scratch(stream.sparkSession)).awaitTermination()
+    return outs
 
 
 def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, checkpoint = scratch(spark), scratch(spark)
-    scored = incremental.stateless_scores(document_stream(spark, sf_dir), KEYS, common(spark, sf_dir))
-    incremental.append_scores(scored, out, checkpoint).awaitTermination()
-    return rounded(spark.read.parquet(out), *readability.METRICS)
+    known = materialize(common(spark, sf_dir))
+
+    def start(stream: DataFrame, out: str, checkpoint: str):
+        return incremental.append_scores(incremental.stateless_scores(stream, KEYS, known), out, checkpoint)
+
+    outs = run_all(start, *streams(spark, sf_dir))
+    return rounded(spark.read.parquet(*outs), *readability.METRICS)
 
 
 def stream_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, checkpoint = scratch(spark), scratch(spark)
-    stream = document_stream(spark, sf_dir)
-    scored = readability.score_readability(stream, KEYS, common(spark, sf_dir))
-    incremental.running_summary(scored, KEYS, out, checkpoint).awaitTermination()
-    return rounded(incremental.latest_summary(spark, out), "max", "mean", "std")
+    known = materialize(common(spark, sf_dir))
+
+    def start(stream: DataFrame, out: str, checkpoint: str):
+        scored = readability.score_readability(stream, KEYS, known)
+        return incremental.running_summary(scored, KEYS, out, checkpoint)
+
+    found = [incremental.latest_summary(spark, out) for out in run_all(start, *streams(spark, sf_dir))]
+    return rounded(found[0].unionByName(found[1]), "max", "mean", "std")
 
 
 def stream_foreach_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, checkpoint = scratch(spark), scratch(spark)
+    """Sentiment, toxicity, similarity and topics of every micro-batch, by scorers that are prepared once."""
     lexicon = fixture_lexicon(spark)
-    query = incremental.score_batches(
-        document_stream(spark, sf_dir), lambda batch: score_sentiment(batch, KEYS, lexicon), out, checkpoint
-    )
-    query.awaitTermination()
-    return rounded(spark.read.parquet(out).drop("batch"), "sentiment")
+    toxic = prepare_toxicity(toxicity_words(spark, sf_dir))
+    known = similarity.prepare_shingles(t.examples(spark, sf_dir).where(F.col("group") == "injection"))
+    words = topics.prepare_topics(small_table(spark, ["topic", "token", "weight"], t.topic_rows(t.TOPICS)))
+
+    def score(batch: DataFrame) -> DataFrame:
+        group = [*KEYS, "field"]
+        return (
+            score_sentiment(batch, KEYS, lexicon)
+            .join(score_toxicity(batch, KEYS, toxic), group)
+            .join(similarity.shingle_similarity(batch, KEYS, known, ["injection"]), group)
+            .join(topics.closest_topic(batch, KEYS, words, list(t.TOPICS)).drop("score"), group)
+        )
+
+    def start(stream: DataFrame, out: str, checkpoint: str):
+        return incremental.score_batches(stream, score, out, checkpoint)
+
+    outs = run_all(start, *streams(spark, sf_dir))
+    found = [spark.read.parquet(out).drop("batch") for out in outs]
+    return rounded(found[0].unionByName(found[1]), "sentiment", "toxicity", "injection")
 
 
 QUERIES = {
@@ -422,6 +459,7 @@ QUERIES = {
     "similarity_lsh": similarity_lsh,
     "topic_closest": topic_closest,
     "topic_custom": topic_custom,
+    "topic_terms": topic_terms,
     "topic_discovery": topic_discovery,
     "pattern_label": pattern_label,
     "pattern_custom": pattern_custom,

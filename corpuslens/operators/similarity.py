@@ -7,16 +7,16 @@ forms serve callers who bring embeddings.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from math import ceil
+from random import Random
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpuslens.functions.text import explode_rows, runs, tokens, with_term_counts
 from corpuslens.functions.words import one_of
 from corpuslens.operators.longform import attach, to_long, widen
-from corpuslens.plans.lookups import known_words, lookup_join
+from corpuslens.plans.lookups import Lookup, known_words, lookup_join, prepare_lookup
 from corpuslens.plans.session import materialize
 
 WIDTH = 3
@@ -51,29 +51,30 @@ def _zero_unless_null_text(keys: list[str], groups: list[str]) -> list:
     return [*keys, "field", *scores]
 
 
+def prepare_shingles(examples: DataFrame) -> Lookup:
+    """(shingle, group, example_id, size), stored and measured, for scoring many tables or micro-batches."""
+    parts = distinct_examples(check_examples(examples)).select(
+        "group", "example_id", tokens(F.col("text")).alias("t")
+    )
+    parts = parts.select("group", "example_id", F.array_distinct(runs(F.col("t"), WIDTH)).alias("parts"))
+    keep = ["group", "example_id", "size"]
+    return prepare_lookup(
+        explode_rows(parts.withColumn("size", F.size("parts")), keep, F.col("parts"), "shingle"), "shingle"
+    )
+
+
 def shingle_similarity(
-    long: DataFrame, keys: list[str], examples: DataFrame, groups: list[str]
+    long: DataFrame, keys: list[str], examples: DataFrame | Lookup, groups: list[str]
 ) -> DataFrame:
     """(keys, field, one column per group): share of an example's shingles found in the text.
 
-    With the examples broadcast, texts that share nothing shrink to one row each before the
-    shuffle, and only texts that share a shingle meet that example.
+    ``examples`` are texts, or what ``prepare_shingles`` made of them. With the examples broadcast, texts
+    that share nothing shrink to one row each before the shuffle, and only texts that share a shingle
+    meet that example.
     """
     row = [*keys, "field", "has_text"]
-    example_tokens = distinct_examples(examples).select(
-        "group", "example_id", tokens(F.col("text")).alias("t")
-    )
-    example_shingles = example_tokens.select(
-        "group", "example_id", F.array_distinct(runs(F.col("t"), WIDTH)).alias("parts")
-    )
-    lookup = explode_rows(
-        example_shingles.withColumn("size", F.size("parts")),
-        ["group", "example_id", "size"],
-        F.col("parts"),
-        "shingle",
-    )
-    lookup = materialize(lookup)
-    known = F.expr(f"filter(parts, s -> {one_of('s', known_words(lookup, 'shingle'))})")
+    lookup = examples if isinstance(examples, Lookup) else prepare_shingles(examples)
+    known = F.expr(f"filter(parts, s -> {one_of('s', lookup.words)})")
     text_tokens = long.select(
         *keys, "field", F.col("text").isNotNull().alias("has_text"), tokens(F.col("text")).alias("t")
     )
@@ -81,7 +82,7 @@ def shingle_similarity(
         *row, F.explode_outer(F.array_distinct(known)).alias("shingle")
     )
     shared = (
-        lookup_join(found, lookup, ["shingle"], "left", row)
+        lookup_join(found, lookup.table, ["shingle"], "left", row, lookup.broadcast)
         .groupBy(*row, "group", "example_id", "size")
         .agg(F.count("example_id").alias("shared"))
     )
@@ -206,36 +207,103 @@ def dense_similarity(
     return result.select(*keys, *groups)
 
 
+@dataclass(frozen=True)
+class Hashing:
+    """Tables of random directions. In each, the projections on a direction are cut at quantiles of the
+    examples' projections, so that cells hold about equally many examples however these are spread."""
+
+    tables: int = 8
+    directions: int = 3
+    cuts: int = 1
+    probes: int = 2
+    seed: int = 42
+
+    def direction(self, table: int, number: int, size: int) -> list[float]:
+        drawn = Random(f"{self.seed} {table} {number}")
+        return [drawn.gauss(0.0, 1.0) for _ in range(size)]
+
+
+def projections(unit: Column, hashing: Hashing, size: int) -> list[Column]:
+    return [
+        _dot(unit, F.array(*[F.lit(x) for x in hashing.direction(t, d, size)])).alias(f"p{t}_{d}")
+        for t in range(hashing.tables)
+        for d in range(hashing.directions)
+    ]
+
+
+def cut_points(projected: DataFrame, hashing: Hashing) -> dict[str, list[float]]:
+    """Quantiles of every projection of the examples: a few numbers, whatever their number."""
+    shares = [(i + 1) / (hashing.cuts + 1) for i in range(hashing.cuts)]
+    names = [c for c in projected.columns if c.startswith("p")]
+    row = projected.agg(*[F.percentile_approx(n, shares, 1_000).alias(n) for n in names]).first()
+    return {n: row[n] or [0.0] * hashing.cuts for n in names}
+
+
+def cells(hashing: Hashing, cuts: dict[str, list[float]], probes: int) -> Column:
+    """Array of the cells of a row: its own in every table, and ``probes`` more, each across the nearest
+    cut of one direction, those of the nearest cuts."""
+    found = []
+    for t in range(hashing.tables):
+        names = [f"p{t}_{d}" for d in range(hashing.directions)]
+        places = [sum((F.col(n) > c).cast("int") for c in cuts[n]) for n in names]
+        found.append(F.array(F.xxhash64(F.lit(t), *places)))
+        if not probes:
+            continue
+        crossings = []
+        for d, name in enumerate(names):
+            gaps = [F.struct(F.abs(F.col(name) - c).alias("gap"), F.lit(i).alias("cut")) for i, c in enumerate(cuts[name])]
+            nearest = F.array_min(F.array(*gaps))
+            across = F.when(places[d] <= nearest["cut"], nearest["cut"] + 1).otherwise(nearest["cut"])
+            moved = [across if i == d else p for i, p in enumerate(places)]
+            crossings.append(F.struct(nearest["gap"].alias("gap"), F.xxhash64(F.lit(t), *moved).alias("cell")))
+        nearest_first = F.slice(F.array_sort(F.array(*crossings)), 1, probes)
+        found.append(F.transform(nearest_first, lambda c: c["cell"]))
+    return F.array_distinct(F.concat(*found))
+
+
+def lsh_candidates(
+    vectors: DataFrame, keys: list[str], examples: DataFrame, vector: str = "embedding", hashing: Hashing = Hashing()
+) -> DataFrame:
+    """(keys, unit, group, example_id, example): each pair that shares a cell, once.
+
+    The vectors probe more cells than their own; the examples stand in theirs alone.
+    """
+    known = materialize(unit_vectors(examples, ["group", "example_id"], vector))
+    first = known.first()
+    size = len(first["unit"]) if first else 0
+    asked = unit_vectors(vectors, keys, vector).where(F.size("unit") == size)
+    projected = known.where(F.size("unit") == size).select("*", *projections(F.col("unit"), hashing, size))
+    cuts = cut_points(projected, hashing)
+    index = explode_rows(projected, ["group", "example_id"], cells(hashing, cuts, 0), "cell")
+    probing = explode_rows(
+        asked.select("*", *projections(F.col("unit"), hashing, size)), keys, cells(hashing, cuts, hashing.probes), "cell"
+    )
+    met = lookup_join(probing, materialize(index), ["cell"], salt_by=keys)
+    pairs = met.select(*keys, "group", "example_id").distinct()
+    near = known.select("group", "example_id", F.col("unit").alias("example"))
+    return lookup_join(pairs.join(asked, keys), near, ["group", "example_id"], salt_by=keys)
+
+
 def lsh_similarity(
     vectors: DataFrame,
     keys: list[str],
     examples: DataFrame,
+    groups: list[str],
     vector: str = "embedding",
-    bucket_length: float = 0.5,
-    tables: int = 6,
-    seed: int = 42,
+    hashing: Hashing = Hashing(),
+    unmatched: float = 0.0,
 ) -> DataFrame:
-    """(keys, group, score) by locality-sensitive hashing, for example sets too big for blocks.
+    """(keys, one column per group): largest cosine among the examples met, for example sets too big to compare all.
 
-    Approximate: only examples that share a bucket are compared, so a score can be too low and a
-    vector without any neighbour is absent. On unit vectors the cosine is 1 - distance² / 2.
+    Approximate from below: every value is the cosine of an example, and an example near a vector shares
+    a cell with it most likely. A vector that meets no example of a group has ``unmatched``, one without
+    a direction (null or zero) has null. Every row is there.
     """
-    left = unit_vectors(vectors, keys, vector)
-    right = unit_vectors(examples, ["group", "example_id"], vector)
-    left = left.select(*keys, array_to_vector("unit").alias("features"))
-    right = right.select("group", "example_id", array_to_vector("unit").alias("features"))
-    model = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    ).fit(right)
-    near = model.approxSimilarityJoin(left, right, float("inf"), "distance")
-    return (
-        near.select(
-            *[F.col(f"datasetA.{k}").alias(k) for k in keys],
-            F.col("datasetB.group").alias("group"),
-            (1 - F.col("distance") * F.col("distance") / 2).alias("cosine"),
-        )
-        .groupBy(*keys, "group")
-        .agg(F.max("cosine").alias("score"))
+    met = lsh_candidates(vectors, keys, examples, vector, hashing)
+    best = met.groupBy(*keys).agg(*_largest_per_group(_dot(F.col("unit"), F.col("example")), groups))
+    given = with_length(vectors, keys, vector).select(*keys, F.col("length").isNotNull().alias("fine"))
+    return given.join(best, keys, "left").select(
+        *keys, *[F.when(F.col("fine"), F.coalesce(F.col(g), F.lit(unmatched))).alias(g) for g in groups]
     )
 
 

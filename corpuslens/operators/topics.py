@@ -1,17 +1,14 @@
-"""Closest topic by weighted topic words, and topic discovery."""
+"""Closest topic by weighted topic words."""
 
 from __future__ import annotations
 
 import regex
-from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import IDF, CountVectorizer
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpuslens.data.tables import TOPIC_WORDS, small_table
-from corpuslens.functions.text import TOKEN, tokens, with_term_counts
+from corpuslens.functions.text import TOKEN, with_term_counts
 from corpuslens.operators.longform import FIELDS, attach, to_long, widen
-from corpuslens.plans.lookups import known_words, lookup_join
-from corpuslens.plans.session import materialize
+from corpuslens.plans.lookups import Lookup, lookup_join, prepare_lookup
 
 WORD = regex.compile(TOKEN)
 
@@ -30,8 +27,13 @@ def topic_table(spark: SparkSession, names: str | None = None) -> DataFrame:
     return small_table(spark, ["topic", "token", "weight"], rows)
 
 
+def prepare_topics(topics: DataFrame) -> Lookup:
+    """The topic words, stored and measured, for scoring many tables or micro-batches."""
+    return prepare_lookup(topics, "token")
+
+
 def closest_topic(
-    long: DataFrame, keys: list[str], topics: DataFrame, names: list[str]
+    long: DataFrame, keys: list[str], topics: DataFrame | Lookup, names: list[str]
 ) -> DataFrame:
     """(keys, field, topic, score); no topic word in the text gives a null topic.
 
@@ -39,12 +41,13 @@ def closest_topic(
     before the only shuffle, and the best topic is picked inside the row.
     """
     group = [*keys, "field"]
-    counted = with_term_counts(long, group, words=known_words(topics, "token"))
+    lookup = prepare_topics(topics)
+    counted = with_term_counts(long, group, words=lookup.words)
     terms = (
         counted.select(*group, "norm", F.explode_outer("terms").alias("x"))
         .select(*group, "norm", "x.token", "x.tf")
     )
-    hits = lookup_join(terms, topics, ["token"], "left", group)
+    hits = lookup_join(terms, lookup.table, ["token"], "left", group, lookup.broadcast)
     sums = hits.groupBy(*group).agg(
         F.max("norm").alias("norm"),
         *[
@@ -74,33 +77,3 @@ def analyze_topics(pairs: DataFrame, keys: list[str], names: str | None = None)
     scores = closest_topic(to_long(pairs, keys), keys, table, list(dict.fromkeys(listed)))
     columns = {(f, "topic"): f"{f}_topics" for f in FIELDS}
     return attach(pairs, widen(scores, keys, columns), keys)
-
-
-def discover_topics(
-    long: DataFrame,
-    n_topics: int = 6,
-    n_terms: int = 10,
-    vocabulary: int = 20_000,
-    min_documents: int = 5,
-    iterations: int = 10,
-    seed: int = 42,
-) -> DataFrame:
-    """(topic, rank, token, weight): the leading words of the topics found by LDA.
-
-    The term counts are stored once, so that the iterations read vectors and not texts.
-    """
-    words = long.select(tokens(F.col("text")).alias("tokens"))
-    counts = CountVectorizer(
-        inputCol="tokens", outputCol="tf", vocabSize=vocabulary, minDF=min_documents
-    ).fit(words.where("tokens is not null"))
-    vectors = materialize(counts.transform(words.where("tokens is not null")).select("tf"))
-    weighted = IDF(inputCol="tf", outputCol="features").fit(vectors).transform(vectors)
-    lda = LDA(k=n_topics, maxIter=iterations, seed=seed, optimizer="online").fit(weighted)
-    names = list(enumerate(counts.vocabulary))
-    index = small_table(long.sparkSession, ["term", "token"], names)
-    described = lda.describeTopics(n_terms).select(
-        "topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "x")
-    )
-    return described.join(
-        F.broadcast(index), F.col("x.termIndices") == index["term"]
-    ).select("topic", (F.col("rank") + 1).alias("rank"), "token", F.col("x.termWeights").alias("weight"))

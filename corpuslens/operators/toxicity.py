@@ -7,8 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from corpuslens.functions.text import explode_rows, tokens
 from corpuslens.functions.words import one_of
 from corpuslens.operators.longform import FIELDS, attach, to_long, widen
-from corpuslens.plans.lookups import known_words, lookup_join
-from corpuslens.plans.session import materialize
+from corpuslens.plans.lookups import Lookup, lookup_join, prepare_lookup
 
 
 def learn_toxicity(
@@ -46,15 +45,20 @@ def learn_toxicity(
     ).where(F.col("log_odds") >= threshold)
 
 
-def score_toxicity(long: DataFrame, keys: list[str], lexicon: DataFrame) -> DataFrame:
+def prepare_toxicity(lexicon: DataFrame) -> Lookup:
+    """The lexicon, stored and measured, for scoring many tables or micro-batches."""
+    return prepare_lookup(lexicon, "token")
+
+
+def score_toxicity(long: DataFrame, keys: list[str], lexicon: DataFrame | Lookup) -> DataFrame:
     """(keys, field, toxicity): logistic of the summed log-odds, 0 where no word is known.
 
     The lexicon grows with the vocabulary, so it is computed once and measured before a
     broadcast is chosen.
     """
     group = [*keys, "field", "has_text"]
-    lexicon = materialize(lexicon)
-    known = one_of("w", known_words(lexicon, "token"))
+    lookup = prepare_toxicity(lexicon)
+    known = one_of("w", lookup.words)
     # Computed before the explode: beside it, the text would be copied along with every token.
     split = long.select(
         *keys, "field", F.col("text").isNotNull().alias("has_text"), tokens(F.col("text")).alias("t")
@@ -62,7 +66,7 @@ def score_toxicity(long: DataFrame, keys: list[str], lexicon: DataFrame) -> Data
     words = split.select(
         *group, F.explode_outer(F.expr(f"array_distinct(filter(t, w -> {known}))")).alias("token")
     )
-    hits = lookup_join(words, lexicon, ["token"], "left", group)
+    hits = lookup_join(words, lookup.table, ["token"], "left", group, lookup.broadcast)
     evidence = F.col("evidence") + F.col("prior")
     return (
         hits.groupBy(*group)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, functions as F
 
+from corpuslens.plans.session import materialize
+
 MAX_PLAN_WORDS = 10_000
 MAX_BROADCAST_ROWS = 500_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
@@ -33,6 +37,26 @@ def fits_broadcast(
     return size["n"] <= max_rows and size["bytes"] <= max_bytes
 
 
+@dataclass(frozen=True)
+class Lookup:
+    """A lookup table that is stored and measured, for any number of joins.
+
+    ``words`` are its distinct keys, None if there are too many to name in a plan.
+    """
+
+    table: DataFrame
+    words: list[str] | None
+    broadcast: bool
+
+
+def prepare_lookup(table: DataFrame | Lookup, column: str) -> Lookup:
+    """Compute a table once, and measure once whether it can be broadcast and its keys be named."""
+    if isinstance(table, Lookup):
+        return table
+    stored = materialize(table)
+    return Lookup(stored, known_words(stored, column), fits_broadcast(stored))
+
+
 def lookup_join(
     big: DataFrame,
     small: DataFrame,

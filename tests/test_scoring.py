@@ -12,7 +12,7 @@ from corpuslens.functions.text import tokens, with_term_counts
 from corpuslens.operators import similarity
 from corpuslens.operators.entities import named_entities
 from corpuslens.operators.sentiment import analyze_sentiment, score_sentiment
-from corpuslens.operators.topics import analyze_topics, closest_topic, discover_topics, topic_table
+from corpuslens.operators.topics import analyze_topics, closest_topic, topic_table
 from corpuslens.operators.toxicity import analyze_toxicity, learn_toxicity, score_toxicity
 from corpuslens.plans import lookups
 
@@ -193,10 +193,13 @@ def test_shuffled_similarity_gives_the_same(spark, long_of, monkeypatch):
         assert salted == pytest.approx(usual)
 
 
-def test_short_examples_are_rejected(spark):
+def test_short_examples_are_rejected(spark, long_of):
     similarity.check_examples(example_table(spark))
+    short = example_table(spark, {"injection": ["too short"]})
     with pytest.raises(ValueError):
-        similarity.check_examples(example_table(spark, {"injection": ["too short"]}))
+        similarity.check_examples(short)
+    with pytest.raises(ValueError):
+        similarity.shingle_similarity(long_of(["some text"]), KEYS, short, ["injection"])
 
 
 def test_tfidf_against_brute_force(spark, long_of):
@@ -235,16 +238,44 @@ def test_dense_against_numpy(spark, per_block):
     assert rows[0]["none"] is None and rows[99]["a"] is None
 
 
-def test_lsh_never_exceeds_exact(spark):
-    rng = np.random.default_rng(1)
-    vectors, known = rng.normal(size=(60, 8)), rng.normal(size=(20, 8))
+def near_examples(seed, n, size, examples):
+    """Vectors near one of the examples each, at a cosine of about 0.9, and a tenth near none."""
+    rng = np.random.default_rng(seed)
+    known = rng.normal(size=(examples, size))
+    chosen = rng.integers(examples, size=n)
+    vectors = known[chosen] + 0.45 * rng.normal(size=(n, size))
+    vectors[: n // 10] = rng.normal(size=(n // 10, size))
+    return vectors, known
+
+
+@pytest.mark.parametrize("examples", [30, 300])
+def test_lsh_meets_few_pairs_and_most_of_the_nearest(spark, examples):
+    vectors, known = near_examples(4, 400, 32, examples)
     left = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "row_id bigint, embedding array<double>")
     right = spark.createDataFrame([("a", i, v.tolist()) for i, v in enumerate(known)], "group string, example_id int, embedding array<double>")
+    hashing = similarity.Hashing(tables=10, directions=4, cuts=1, probes=2)
+    pairs = similarity.lsh_candidates(left, KEYS, right, hashing=hashing)
+    met = pairs.select("row_id", "group", "example_id")
+    assert met.distinct().count() == met.count()
     exact = scores(similarity.dense_similarity(left, KEYS, right, ["a"]), "a")
-    near = scores(similarity.lsh_similarity(left, KEYS, right), "score")
-    assert len(near) > 50
-    assert all(near[i] <= exact[i] + 1e-9 for i in near)
-    assert sum(abs(near[i] - exact[i]) < 1e-6 for i in near) > len(near) / 2
+    hashing = similarity.Hashing(tables=12, directions=7, cuts=1, probes=4)
+    pairs = similarity.lsh_candidates(left, KEYS, right, hashing=hashing).count()
+    near = scores(similarity.lsh_similarity(left, KEYS, right, ["a"], hashing=hashing), "a")
+    assert pairs < 0.2 * len(vectors) * examples, pairs / len(vectors) / examples
+    assert set(near) == set(exact) and all(near[i] <= max(exact[i], 0.0) + 1e-9 for i in near)
+    close = [i for i in exact if exact[i] >= 0.8]
+    assert len(close) > 300 and sum(abs(near[i] - exact[i]) < 1e-9 for i in close) >= 0.9 * len(close)
+
+
+def test_lsh_of_rows_without_a_direction(spark):
+    kind = "row_id bigint, embedding array<double>"
+    left = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [-1.0, 0.001])], kind)
+    right = spark.createDataFrame([("a", 1, [1.0, 0.0]), ("a", 2, [0.0, 0.0])], "group string, example_id int, embedding array<double>")
+    found = scores(similarity.lsh_similarity(left, KEYS, right, ["a"], unmatched=-1.0), "a")
+    assert found == {1: pytest.approx(1.0), 2: None, 3: None, 4: pytest.approx(-1.0, abs=1e-5)}
+    none = scores(similarity.lsh_similarity(left, KEYS, right.where("example_id > 9"), ["a"]), "a")
+    assert none == {1: 0.0, 2: None, 3: None, 4: 0.0}
+    assert similarity.lsh_similarity(left.where("row_id > 9"), KEYS, right, ["a"]).count() == 0
 
 
 def test_prompt_and_refusal_columns(spark):
@@ -291,15 +322,6 @@ def test_listed_topics(spark):
     assert (row["prompt_topics"], row["response_topics"]) == ("space travel", "law")
 
 
-def test_discovered_topics(spark, long_of):
-    texts = ["red green blue " * 5, "cat dog bird " * 5] * 20
-    found = discover_topics(long_of(texts), n_topics=2, n_terms=3, min_documents=1, iterations=20)
-    topics = {}
-    for r in found.collect():
-        topics.setdefault(r["topic"], set()).add(r["token"])
-    assert len(topics) == 2 and all(len(t) == 3 for t in topics.values())
-
-
 def test_result_does_not_depend_on_partitions(spark, long_of):
     long = long_of(random_texts(60, seed=21))
     one = scores(score_sentiment(long.coalesce(1), KEYS, lexicon_table(spark)), "sentiment")

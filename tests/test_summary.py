@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from corpuslens.operators import readability, summary, views
 from corpuslens.operators.longform import to_metrics
-from corpuslens.plans.quantiles import exact_quantiles
+from corpuslens.plans.quantiles import exact_brackets, exact_quantiles, last_rows
+from corpuslens.plans.session import materialize
 
 KEYS = ["row_id"]
 SCHEMA = "row_id bigint, field string, metric string, value double"
@@ -68,6 +69,35 @@ def test_quantiles_of_large_groups(spark, kind):
         assert r["quantile"] == pytest.approx(np.quantile(values, r["probability"]), abs=1e-9)
 
 
+@pytest.mark.parametrize("kind", ["smooth", "steps", "powers"])
+def test_quantiles_by_many_rounds(spark, kind):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    values = {
+        "smooth": rng.normal(size=9_000),
+        "steps": rng.integers(0, 4, size=9_000).astype(float),
+        "powers": 10.0 ** rng.uniform(-300, 300, size=9_000),
+    }[kind]
+    table = pa.table({"value": values, "metric": np.where(np.arange(9_000) % 3, "a", "b")})
+    df = spark.createDataFrame(table).repartition(5)
+    probabilities = [0.0, 0.0001, 0.1, 0.25, 0.3333, 0.5, 0.75, 0.9, 0.9999, 1.0]
+    rows = exact_quantiles(df, ["metric"], probabilities, few=15).collect()
+    assert len(rows) == 20
+    for r in rows:
+        group = values[(np.arange(9_000) % 3 > 0) == (r["metric"] == "a")]
+        assert r["quantile"] == pytest.approx(np.quantile(group, r["probability"]), rel=1e-9)
+
+
+@pytest.mark.parametrize("n", [20_000, 200_000])
+def test_the_last_step_ranks_a_fixed_number_of_rows(spark, n):
+    df = spark.range(0, n, 1, 6).select(F.lit("m").alias("metric"), F.when(F.col("id") % 3 == 0, 0.5).otherwise(F.rand(3)).alias("value"))
+    df = materialize(df)
+    brackets = exact_brackets(df, ["metric"], summary.QUARTILES, few=100)
+    ranked = last_rows(df, brackets, ["metric"])
+    assert ranked.groupBy("probability").count().agg(F.max("count")).first()[0] <= 100 + 3
+
+
 def test_fences(spark):
     row = summary.quartiles(score_table(spark, [1.0, 2.0, 3.0, 4.0, 5.0])).first()
     assert (row["q1"], row["median"], row["q3"]) == (2.0, 3.0, 4.0)

@@ -212,10 +212,10 @@ class Hashing:
     """Tables of random directions. In each, the projections on a direction are cut at quantiles of the
     examples' projections, so that cells hold about equally many examples however these are spread."""
 
-    tables: int = 8
-    directions: int = 3
+    tables: int = 4
+    directions: int = 8
     cuts: int = 1
-    probes: int = 2
+    probes: int = 5
     seed: int = 42
 
     def direction(self, table: int, number: int, size: int) -> list[float]:

@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -35,6 +36,8 @@ ROWS_PER_BAND = 5
 MISS = 1e-7
 DEVIATIONS = 6.0
 SKETCH_BITS = 2048
+#: Pivots of a bucket after each round.
+ROUNDS = [1, 32, 2048]
 CACHED_WORDS, ROWS_AT_ONCE = 300_000, 100
 
 
@@ -167,7 +170,7 @@ def shingle_sets(rows: DataFrame, like: Likeness) -> DataFrame:
 
 
 def sketches(sets: DataFrame) -> DataFrame:
-    """(id, trait) from (id, shingles): the size, and one bit of each of many more minima."""
+    """(id, size, bits) from (id, shingles): the size, and one bit of each of many more minima."""
 
     def work(batches: Iterator[pa.RecordBatch]):
         for batch in _slices(batches):
@@ -184,8 +187,7 @@ def sketches(sets: DataFrame) -> DataFrame:
             )
 
     kind = sets.schema["id"].dataType.simpleString()
-    found = sets.select("id", "shingles").mapInArrow(work, f"id {kind}, size bigint, bits array<bigint>")
-    return found.select("id", F.struct("size", "bits").alias("trait"))
+    return sets.select("id", "shingles").mapInArrow(work, f"id {kind}, size bigint, bits array<bigint>")
 
 
 def joined(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
@@ -233,21 +235,24 @@ def group_documents(
         union = F.size("va") + F.size("vb") - common
         return full.where(100 * common >= like.percent * union).select("a", "b").distinct()
 
+    words, band_names = [f"s{i}" for i in range(SKETCH_BITS // 64)], [f"b{i}" for i in range(like.bands)]
+
     def traits(ids: DataFrame) -> DataFrame:
+        """Size, sketch and bands as fields: what is no array is compared in compiled code."""
         found = sketches(sets.join(ids, "id", "left_semi")).join(banded, "id")
-        return found.select("id", F.col("trait").withField("bands", F.col("bands")).alias("trait"))
-
-    def first(a: Column, b: Column) -> Column:
-        common = F.filter(F.zip_with(a["bands"], b["bands"], lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
-        return F.get(common, F.lit(0))
+        fields = [F.get("bits", F.lit(i)).alias(name) for i, name in enumerate(words)]
+        fields += [F.get("bands", F.lit(i)).alias(name) for i, name in enumerate(band_names)]
+        return found.select("id", F.struct("size", *fields).alias("trait"))
 
     def possible(a: Column, b: Column) -> Column:
         """Sets of sizes and sketches that a pair at the threshold may have."""
         small, large = F.least(a["size"], b["size"]), F.greatest(a["size"], b["size"])
-        counts = F.zip_with(a["bits"], b["bits"], lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-        differ = F.aggregate(counts, F.lit(0), lambda total, n: total + n)
+        differ = reduce(Column.__add__, [F.bit_count(a[name].bitwiseXOR(b[name])) for name in words])
         return (100 * small >= like.percent * large) & (differ <= like.most_different)
 
+    def first(a: Column, b: Column) -> Column:
+        return F.coalesce(*[F.when(a[name] == b[name], a[name]) for name in band_names])
+
     again = table.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("id")
     same_id = (
         table.where(F.col("n") > 0)
@@ -256,7 +261,7 @@ def group_documents(
         .select(F.col("id").alias("u"), F.col("rep").alias("v"))
         .where(F.col("u") != F.col("v"))
     )
-    groups = group_candidates(members, verify, same_id, traits, possible, traits_from=1, first=first)
+    groups = group_candidates(members, verify, same_id, traits, possible, 1, ROUNDS, first)
     # a class is as its representative; the class's key may hold a third of the rows
     found = classes.join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
         "set_key", F.coalesce("component", "rep").alias("component_id")

@@ -344,7 +344,7 @@ def counts(source: str) -> tuple[str, ...]:
     )
 
 
-def statistic_ctes(source: str) -> tuple[str, ...]:
+def statistic_ctes(source: str, exact: bool = False) -> tuple[str, ...]:
     w = "nullif(words, 0)::DOUBLE"
     formulas = {
         "Flesch Reading Ease": f"206.835 - 1.015 * words / sentences - 84.6 * syllables / {w}",
@@ -369,7 +369,8 @@ def statistic_ctes(source: str) -> tuple[str, ...]:
     }
     columns = ",\n    ".join(f'({f})::DOUBLE AS "{m}"' for m, f in formulas.items())
     grades = " UNION ALL ".join(f'SELECT row_id, field, round("{g}") AS g FROM raw' for g in GRADES)
-    chosen = ",\n    ".join(f'{r6(chr(34) + m + chr(34))} AS "{m}"' for m in METRICS)
+    quoted = [f'"{m}"' for m in METRICS]
+    chosen = ",\n    ".join(f"{name if exact else r6(name)} AS {name}" for name in quoted)
     return (
         *counts(source),
         f"raw AS (SELECT row_id, field,\n    {columns}\n  FROM counted)",
@@ -471,7 +472,7 @@ LEFT JOIN (SELECT row_id, field, count(*) AS n FROM shapes GROUP BY ALL) e USING
 
 def stream_summary() -> str:
     scores = f"scores AS ({unpivoted(METRICS)})"
-    return with_(*CORPUS_STATISTICS, scores) + SUMMARY
+    return with_(*BASE, *statistic_ctes("corpus", exact=True), scores) + SUMMARY
 
 
 def stream_foreach_batch() -> str:

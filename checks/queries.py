@@ -201,7 +201,7 @@ def topic_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topic_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(discovery.discover_topics(t.corpus(spark, sf_dir), KEYS), "weight")
+    return rounded(discovery.discover_topics(t.corpus(spark, sf_dir), KEYS, iterations=5), "weight")
 
 
 def pattern_label(spark: SparkSession, sf_dir: str) -> DataFrame:

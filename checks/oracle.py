@@ -255,7 +255,7 @@ CHECKS = {
     "UK_NHS": f"(11 - {_weighted([10, 9, 8, 7, 6, 5, 4, 3, 2, 0])} % 11) % 11 = ({_DIGITS})[10]",
     "MEDICAL_LICENSE": f"{_weighted([1, 2, 1, 2, 1, 2, 0])} % 10 = ({_DIGITS})[7]",
     "IBAN_CODE": """list_reduce(list_prepend(0, list_transform(
-        regexp_extract_all(substr(m, 5) || substr(m, 1, 4), '.'),
+        regexp_extract_all(substr(m, 5) || substr(m, 1, 4), '[A-Z0-9]'),
         lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ord(c) - 48 ELSE ord(c) - 55 END)),
       lambda a, v: CASE WHEN v < 10 THEN (a * 10 + v) % 97 ELSE (a * 100 + v) % 97 END) = 1""",
 }
@@ -264,6 +264,9 @@ CHECKS = {
 def finding(entity: str) -> str:
     rule = RULES[entity]
     found = f"regexp_extract_all(text, {text(rule.expression)})"
+    if rule.shorter:
+        less = f"regexp_extract(m, {text(rule.shorter)}, 1)"
+        found = f"list_transform({found}, lambda m: CASE WHEN {CHECKS[entity]} THEN m ELSE {less} END)"
     if entity in CHECKS:
         found = f"list_filter({found}, lambda m: {CHECKS[entity]})"
     if rule.context:

@@ -76,6 +76,9 @@ INLINE = [
     "iban GB82WEST12345698765432", "iban GB82WEST12345698765431", "iban DE89370400440532013000",
     "ip 192.168.0.254", "ip 192.168.0.256", "ip 2001:0db8:85a3:0000:0000:8a2e:0370:7334", "ip 2001:0db8::1",
     "no digits at all", "", "4",
+    "card 3056 930902 5904", "card 3056 930902 5905", "card 6304 0000 0000 0000 000", "card 6304 0000 0000 0000 001",
+    "iban GB82 WEST 1234 5698 7654 32", "iban GB82 WEST 1234 5698 7654 33", "iban NO93 8601 1117 947",
+    "card 4111 1111 1111 1111 123 cvv", "iban ES91 2100 0418 4502 0005 1332 PAID today",
 ]
 
 

@@ -29,7 +29,7 @@ def luhn(value: Column) -> Column:
 
 
 def iban(value: Column) -> Column:
-    moved = F.concat(F.substring(value, 5, 34), F.substring(value, 1, 4))
+    moved = F.concat(F.substring(value, 5, 60), F.substring(value, 1, 4))
     characters = F.regexp_extract_all(moved, F.lit("[A-Z0-9]"), F.lit(0))
     remainder = F.aggregate(
         characters,

@@ -33,7 +33,8 @@ CATALOGUE = {
 class Rule:
     """A shape, the confidence in it, and what else must hold.
 
-    ``needs`` are strings of which a text must contain one; without any, it must hold a digit.
+    ``needs`` are strings of which a text must contain one; without any, it must hold a digit. Where a match
+    fails its check, the first group of ``shorter`` in it is tried, that is, the match without its last group.
     """
 
     expression: str
@@ -41,6 +42,7 @@ class Rule:
     check: Callable[[Column], Column] | None = None
     context: str | None = None
     needs: tuple[str, ...] = ()
+    shorter: str | None = None
 
 
 # ASCII digits only, and no look-around, so that the shapes mean the same in any engine.
@@ -69,16 +71,23 @@ RULES = {
     "CRYPTO": Rule(r"\b(?:bc1[a-z0-9]{25,59}|[13][1-9A-HJ-NP-Za-km-z]{25,34})\b", WEAK),
     "UK_NHS": Rule(r"\b[0-9]{3}[ -]?[0-9]{3}[ -]?[0-9]{4}\b", VALID, checksums.uk_nhs),
     "CREDIT_CARD": Rule(
-        r"\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\b"
-        r"|\b[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{5}\b|\b[0-9]{13,19}\b",
+        r"\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{3}\b"
+        r"|\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\b"
+        r"|\b[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{4,5}\b|\b[0-9]{13,19}\b",
         VALID,
         checksums.luhn,
+        shorter=r"^((?:[0-9]{4}[ -]){3}[0-9]{4})[ -][0-9]{3}$",
     ),
     "US_ITIN": Rule(
         r"\b9[0-9]{2}-(?:5[0-9]|6[0-5]|7[0-9]|8[0-8]|9[0-24-9])-[0-9]{4}\b", SHAPE
     ),
     "US_BANK_NUMBER": Rule(r"\b[0-9]{8,17}\b", WEAK, context="(?i)account|bank"),
-    "IBAN_CODE": Rule(r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b", VALID, checksums.iban),
+    "IBAN_CODE": Rule(
+        r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b|\b[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?\b",
+        VALID,
+        checksums.iban,
+        shorter=r"^(.*) [A-Z0-9]{1,4}$",
+    ),
     "IP_ADDRESS": Rule(
         rf"\b(?:{_OCTET}\.){{3}}{_OCTET}\b|\b(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}\b",
         SHAPE,
@@ -99,9 +108,20 @@ def select_entities(selected: list[str] | None = None) -> list[str]:
     return [e for e in ENTITIES if not selected or e in selected]
 
 
+def check_names(names: DataFrame | None, selected: list[str] | None) -> None:
+    """Refuse a choice of named entities without a table of names, which would find nothing."""
+    asked = sorted(set(selected or ()) & set(NAMED))
+    if names is None and asked:
+        raise ValueError(f"{asked} need a table of names")
+
+
 def _found_by(entity: str, text: Column) -> Column:
     rule = RULES[entity]
     found = F.regexp_extract_all(text, F.lit(rule.expression), F.lit(0))
+    if rule.shorter:
+        found = F.transform(
+            found, lambda m: F.when(rule.check(m), m).otherwise(F.regexp_extract(m, rule.shorter, 1))
+        )
     if rule.check:
         found = F.filter(found, rule.check)
     described = F.transform(
@@ -178,6 +198,7 @@ def extract_entities(
         shape_entities(F.col("text"), selected),
         lambda x, i: F.struct(i.alias("pos"), x["entity"], x["text"], x["score"]),
     )
+    check_names(names, selected)
     group = [*keys, "field"]
     by_shape = explode_rows(long, group, findings, "x").select(*group, "x.*")
     if names is None or not set(select_entities(selected)) & set(NAMED):
@@ -197,6 +218,7 @@ def rendered_entities(
     long: DataFrame, keys: list[str], names: DataFrame | None = None, selected: list[str] | None = None
 ) -> DataFrame:
     """(keys, field, entities): the findings of a text as one string, empty without any."""
+    check_names(names, selected)
     if names is None or not set(select_entities(selected)) & set(NAMED):
         entities = render(shape_entities(F.col("text"), selected))
         return long.select(*keys, "field", entities.alias("entities"))
@@ -220,6 +242,7 @@ def analyze_entities(
     Findings by shape are made in the row. With ``keys`` and a table of ``names``, the names found
     in a text are joined to them; the list of one text is all that is gathered.
     """
+    check_names(names, selected)
     result = pairs.withColumns({f"{f}_pii": shape_entities(F.col(f), selected) for f in fields})
     if names is None or not set(select_entities(selected)) & set(NAMED):
         return result

@@ -46,28 +46,44 @@ def read_json(
 
 def read_split(spark: SparkSession, directory: str, split: str = "train") -> DataFrame:
     """One split of a parquet dataset: ``train/``, ``split=train/`` or ``train-*.parquet``."""
+    found = {}
     for layout in (f"{split}-*.parquet", f"data/{split}-*.parquet", split, f"split={split}"):
         try:
-            return spark.read.parquet(f"{directory}/{layout}")
+            found[layout] = spark.read.parquet(f"{directory}/{layout}")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-    raise ValueError(f"no split {split!r} under {directory}")
+    if len(found) > 1:
+        raise ValueError(f"more than one layout of split {split!r} under {directory}: {sorted(found)}")
+    if not found:
+        raise ValueError(f"no split {split!r} under {directory}")
+    return found.popitem()[1]
 
 
 def literal_pair(spark: SparkSession, prompt: str, response: str) -> DataFrame:
     return spark.range(1).select(F.lit(prompt).alias("prompt"), F.lit(response).alias("response"))
 
 
-def holds_json_lines(spark: SparkSession, path: str) -> bool:
-    """Whether the first two lines are an object each, so that one record per line is meant."""
-    rows = spark.read.text(path).where(F.trim("value") != "").take(2)
+def is_object(line: str) -> bool:
     try:
-        return len(rows) == 2 and all(isinstance(json.loads(r["value"]), dict) for r in rows)
+        return isinstance(json.loads(line), dict)
     except ValueError:
         return False
 
 
+def holds_json_lines(spark: SparkSession, path: str) -> bool:
+    """Whether the first line is an object by itself and more follow, so that one record per line is meant.
+
+    A damaged second line raises: neither way of reading would give all records.
+    """
+    rows = [r["value"] for r in spark.read.text(path).where(F.trim("value") != "").take(2)]
+    if len(rows) < 2 or not is_object(rows[0]):
+        return False
+    if not is_object(rows[1]):
+        raise ValueError(f"{path} begins like JSON lines, but its second line is no record: {rows[1][:80]!r}")
+    return True
+
+
 def read_file(spark: SparkSession, path: str, **options) -> DataFrame:
     """Choose the reader by the ending of the path; options go to it.
 

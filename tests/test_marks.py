@@ -73,6 +73,11 @@ ENTITY_ROWS = [
     ("US_ITIN", "912-70-1234", "912-69-1234"),
     ("US_BANK_NUMBER", "bank 12345678", "number 12345678"),
     ("IBAN_CODE", "GB82WEST12345698765432", "GB82WEST12345698765431"),
+    ("IBAN_CODE", "pay GB82 WEST 1234 5698 7654 32 now", "pay GB82 WEST 1234 5698 7654 33 now"),
+    ("IBAN_CODE", "NO93 8601 1117 947", "NO93 8601 1117 948"),
+    ("IBAN_CODE", "ES91 2100 0418 4502 0005 1332 PAID", "ES91 2100 0418 4502 0005 1333 PAID"),
+    ("CREDIT_CARD", "card 3056 930902 5904", "card 3056 930902 5905"),
+    ("CREDIT_CARD", "card 6304 0000 0000 0000 000", "card 6304 0000 0000 0001 001"),
     ("PERSON", "met John Smith there", "met John there"),
     ("LOCATION", "in New York, today", "in New, York"),
     ("IP_ADDRESS", "192.168.0.254", "192.168.0.256"),
@@ -153,3 +158,14 @@ def test_guards_keep_what_matches_without_a_digit(long_of):
 def test_cards_next_to_other_digits(long_of, text):
     found = entities.extract_entities(long_of([text]), ["row_id"], selected=["CREDIT_CARD"]).first()
     assert "4111 1111 1111 1111" in str(found)
+
+
+def test_named_entities_need_names(spark, long_of):
+    pairs = spark.createDataFrame([(1, "John Smith", "x")], "row_id bigint, prompt string, response string")
+    for call in (
+        lambda: entities.analyze_entities(pairs, ["PERSON"]),
+        lambda: entities.extract_entities(long_of(["x"]), ["row_id"], selected=["URL", "LOCATION"]),
+        lambda: entities.rendered_entities(long_of(["x"]), ["row_id"], selected=["ORGANIZATION"]),
+    ):
+        with pytest.raises(ValueError):
+            call()

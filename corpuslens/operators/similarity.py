@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corpuslens.functions.text import explode_rows, runs, tokens, with_term_counts
 from corpuslens.functions.words import one_of
+from corpuslens.operators.containment import ExampleIndex, index_examples, largest_containment
 from corpuslens.operators.longform import attach, to_long, widen
 from corpuslens.plans.lookups import Lookup, known_words, lookup_join, prepare_lookup
 from corpuslens.plans.session import materialize
@@ -51,36 +52,53 @@ def _zero_unless_null_text(keys: list[str], groups: list[str]) -> list:
     return [*keys, "field", *scores]
 
 
-def prepare_shingles(examples: DataFrame) -> Lookup:
-    """(shingle, group, example_id, size), stored and measured, for scoring many tables or micro-batches."""
+@dataclass(frozen=True)
+class Shingles(Lookup):
+    """(shingle, group, example_id, size), stored and measured, with an index where it cannot be broadcast."""
+
+    index: ExampleIndex | None = None
+
+
+def prepare_shingles(examples: DataFrame) -> Shingles:
+    """The shingles of the examples, for scoring many tables or micro-batches."""
     parts = distinct_examples(check_examples(examples)).select(
         "group", "example_id", tokens(F.col("text")).alias("t")
     )
     parts = parts.select("group", "example_id", F.array_distinct(runs(F.col("t"), WIDTH)).alias("parts"))
     keep = ["group", "example_id", "size"]
-    return prepare_lookup(
+    found = prepare_lookup(
         explode_rows(parts.withColumn("size", F.size("parts")), keep, F.col("parts"), "shingle"), "shingle"
     )
+    index = None if found.broadcast else index_examples(found.table)
+    return Shingles(found.table, found.words, found.broadcast, index)
 
 
 def shingle_similarity(
-    long: DataFrame, keys: list[str], examples: DataFrame | Lookup, groups: list[str]
+    long: DataFrame, keys: list[str], examples: DataFrame | Shingles, groups: list[str]
 ) -> DataFrame:
     """(keys, field, one column per group): share of an example's shingles found in the text.
 
     ``examples`` are texts, or what ``prepare_shingles`` made of them. With the examples broadcast, texts
     that share nothing shrink to one row each before the shuffle, and only texts that share a shingle
-    meet that example.
+    meet that example. More examples are searched by ``containment``, with the same result.
     """
     row = [*keys, "field", "has_text"]
-    lookup = examples if isinstance(examples, Lookup) else prepare_shingles(examples)
-    known = F.expr(f"filter(parts, s -> {one_of('s', lookup.words)})")
+    lookup = examples if isinstance(examples, Shingles) else prepare_shingles(examples)
     text_tokens = long.select(
         *keys, "field", F.col("text").isNotNull().alias("has_text"), tokens(F.col("text")).alias("t")
     )
-    found = text_tokens.select(*row, runs(F.col("t"), WIDTH).alias("parts")).select(
-        *row, F.explode_outer(F.array_distinct(known)).alias("shingle")
-    )
+    texts = text_tokens.select(*row, runs(F.col("t"), WIDTH).alias("parts"))
+    if lookup.index:
+        found = materialize(lookup.index.with_known(texts, row))
+        best = largest_containment(found.select(F.struct(*row).alias("text"), "shingle"), lookup.index)
+        scored = best.select("text.*", "group", "score").unionByName(found.select(*row), allowMissingColumns=True)
+        return (
+            scored.groupBy(*row)
+            .agg(*_largest_per_group(F.col("score"), groups))
+            .select(*_zero_unless_null_text(keys, groups))
+        )
+    known = F.expr(f"filter(parts, s -> {one_of('s', lookup.words)})")
+    found = texts.select(*row, F.explode_outer(F.array_distinct(known)).alias("shingle"))
     shared = (
         lookup_join(found, lookup.table, ["shingle"], "left", row, lookup.broadcast)
         .groupBy(*row, "group", "example_id", "size")

@@ -8,13 +8,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuslens.data.tables import BOOSTERS, NEGATIONS, NEGATIVE, POSITIVE, TOPIC_WORDS, example_table, lexicon_table
-from corpuslens.functions.text import tokens, with_term_counts
-from corpuslens.operators import similarity
+from corpuslens.functions.text import runs, tokens, with_term_counts
+from corpuslens.operators import containment, similarity
 from corpuslens.operators.entities import named_entities
 from corpuslens.operators.sentiment import analyze_sentiment, score_sentiment
 from corpuslens.operators.topics import analyze_topics, closest_topic, topic_table
 from corpuslens.operators.toxicity import analyze_toxicity, learn_toxicity, score_toxicity
 from corpuslens.plans import lookups
+from corpuslens.plans.session import materialize
 
 KEYS = ["row_id"]
 WORDS = "good bad very not the of and movie idea never hate love slightly so kind".split()
@@ -193,6 +194,47 @@ def test_shuffled_similarity_gives_the_same(spark, long_of, monkeypatch):
         assert salted == pytest.approx(usual)
 
 
+def test_many_examples_are_searched_exactly(spark, monkeypatch):
+    """Common shingles, near copies, keys and ids given twice or null: as brute force over the repeated rows counts."""
+    rng = random.Random(5)
+    words = ["the", "of", "la", "movie", "idea", "love", "bad", "so"]
+    draw = lambda low, high: " ".join(rng.choice(words[: rng.choice([2, 4, 8])]) for _ in range(rng.randint(low, high)))
+    listed = [(g, i, draw(3, 40)) for i in range(150) for g in ("a", "b")]
+    listed += [("a", 1, draw(5, 9)), ("a", None, "love bad so"), (None, 3, "bad so love"), ("b", 7, listed[0][2].upper())]
+    examples = spark.createDataFrame(listed, "group string, example_id bigint, text string")
+    texts = [(i, "x", draw(0, 60)) for i in range(60)]
+    texts += [(i, "x", listed[i][2] + " love bad") for i in range(40, 80)] + [(None, "x", draw(9, 30)), (None, "x", draw(9, 30))]
+    texts += [(3, "x", texts[3][2]), (4, "x", None), (None, "y", None), (90, "y", "idea"), (91, "y", "one two three four")]
+    long = spark.createDataFrame(texts, "row_id bigint, field string, text string")
+
+    def found():
+        rows = similarity.shingle_similarity(long, KEYS, examples, ["a", "b", "none"]).collect()
+        return sorted(map(tuple, rows), key=repr)
+
+    usual = found()
+    monkeypatch.setattr(lookups, "fits_broadcast", lambda *a, **k: False)
+    for bits, per_part in ((1 << 26, 100), (64, 1)):
+        monkeypatch.setattr(containment, "MAX_MAP_BITS", bits)
+        monkeypatch.setattr(containment, "EXAMPLES_PER_PART", per_part)
+        assert found() == usual
+    assert len({r[2:4] for r in usual}) > 40 and any(r[2] and r[2] > 1 for r in usual)
+
+
+def test_common_passages_are_met_where_they_can_win(spark):
+    """A passage of all texts and examples: where a short example scores it, the long ones are not met by it."""
+    passage = "the movie and the idea of love"
+    own = [" ".join(f"{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}{'abc'[i // 100]}{c}" for c in "klmnop") for i in range(300)]
+    listed = [("a", i, f"{o} {passage}") for i, o in enumerate(own)] + [("a", 300, "idea of love")]
+    examples = spark.createDataFrame(listed, "group string, example_id bigint, text string")
+    index = containment.index_examples(similarity.prepare_shingles(examples).table)
+    texts = spark.createDataFrame([(i, f"{o[:11]} {passage}".split()) for i, o in enumerate(own)], "text bigint, t array<string>")
+    found = materialize(index.with_known(texts.select("text", runs(F.col("t"), 3).alias("parts")), ["text"]))
+    terms = containment.text_terms(found, index)
+    assert containment.meetings(terms, index).count() < 2 * terms.count()
+    best = containment.largest_containment(found, index).groupBy("text").agg(F.max("score").alias("s")).collect()
+    assert [r["s"] for r in best] == [1.0] * 300
+
+
 def test_short_examples_are_rejected(spark, long_of):
     similarity.check_examples(example_table(spark))
     short = example_table(spark, {"injection": ["too short"]})

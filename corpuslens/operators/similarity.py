@@ -22,6 +22,9 @@ from corpuslens.plans.session import materialize
 
 WIDTH = 3
 VECTORS_PER_BLOCK = 1_000
+# The driver holds a broadcast table several times over: as rows, as a hash table and as blocks.
+MAX_BROADCAST_SHINGLES = 50_000
+MAX_BROADCAST_SHINGLE_BYTES = 6 * 1024 * 1024
 
 
 def distinct_examples(examples: DataFrame) -> DataFrame:
@@ -67,7 +70,10 @@ def prepare_shingles(examples: DataFrame) -> Shingles:
     parts = parts.select("group", "example_id", F.array_distinct(runs(F.col("t"), WIDTH)).alias("parts"))
     keep = ["group", "example_id", "size"]
     found = prepare_lookup(
-        explode_rows(parts.withColumn("size", F.size("parts")), keep, F.col("parts"), "shingle"), "shingle"
+        explode_rows(parts.withColumn("size", F.size("parts")), keep, F.col("parts"), "shingle"),
+        "shingle",
+        MAX_BROADCAST_SHINGLES,
+        MAX_BROADCAST_SHINGLE_BYTES,
     )
     index = None if found.broadcast else index_examples(found.table)
     return Shingles(found.table, found.words, found.broadcast, index)

@@ -49,12 +49,17 @@ class Lookup:
     broadcast: bool
 
 
-def prepare_lookup(table: DataFrame | Lookup, column: str) -> Lookup:
+def prepare_lookup(
+    table: DataFrame | Lookup,
+    column: str,
+    max_rows: int = MAX_BROADCAST_ROWS,
+    max_bytes: int = MAX_BROADCAST_BYTES,
+) -> Lookup:
     """Compute a table once, and measure once whether it can be broadcast and its keys be named."""
     if isinstance(table, Lookup):
         return table
     stored = materialize(table)
-    return Lookup(stored, known_words(stored, column), fits_broadcast(stored))
+    return Lookup(stored, known_words(stored, column), fits_broadcast(stored, max_rows, max_bytes))
 
 
 def lookup_join(

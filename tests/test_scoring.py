@@ -235,6 +235,19 @@ def test_common_passages_are_met_where_they_can_win(spark):
     assert [r["s"] for r in best] == [1.0] * 300
 
 
+def test_shingles_that_fill_the_driver_are_not_broadcast(spark):
+    rows = spark.range(4_000).select(
+        F.lit("a").alias("group"),
+        F.col("id").alias("example_id"),
+        F.concat_ws(" ", *[F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij") for _ in range(2)],
+                    *[F.lit(w) for w in "the movie and idea of love was never so good".split()]).alias("text"),
+    )
+    assert similarity.prepare_shingles(rows.limit(100)).broadcast
+    longer = rows.withColumn("text", F.concat_ws(" ", "text", *[F.concat("text", F.lit(c)) for c in "wxyz"]))
+    found = similarity.prepare_shingles(longer)
+    assert found.table.count() > similarity.MAX_BROADCAST_SHINGLES and not found.broadcast and found.index
+
+
 def test_short_examples_are_rejected(spark, long_of):
     similarity.check_examples(example_table(spark))
     short = example_table(spark, {"injection": ["too short"]})

@@ -120,22 +120,19 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
 
 
 def with_features(rows: DataFrame, lexicon: dict[str, float], text: str = "text") -> DataFrame:
-    """Replace the text by ``features``."""
-    kept = [c for c in rows.columns if c != text]
-    chosen = rows.select(*kept, text)
+    """Replace the text by ``features``. Only the text goes to Python; all other columns stay with Spark."""
+    kept = [F.col(f"`{c}`") for c in rows.columns if c != text]
 
-    def work(batches: Iterator[pa.RecordBatch]):
+    def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(at, ROWS_AT_ONCE)
-                found = [text_features(t or "", lexicon) for t in batch.column(len(kept)).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:-1], pa.array(found, pa.list_(pa.float64()))],
-                    names=[*kept, "features"],
-                )
-
-    fields = [*[rows.schema[c] for c in kept], T.StructField("features", T.ArrayType(T.DoubleType()))]
-    return chosen.mapInArrow(work, T.StructType(fields))
+            found = []
+            for at in range(0, len(whole), ROWS_AT_ONCE):
+                found += [text_features(t or "", lexicon) for t in whole.slice(at, ROWS_AT_ONCE).to_pylist()]
+            yield pa.array(found, pa.list_(pa.float64()))
+
+    # not deterministic to the optimizer, which else may move it to where it runs more than once
+    features = F.arrow_udf(work, T.ArrayType(T.DoubleType())).asNondeterministic()
+    return rows.select(*kept, features(F.col(f"`{text}`")).alias("features"))
 
 
 def fit_toxicity(

@@ -4,8 +4,9 @@ Latent Dirichlet allocation (Blei, Ng and Jordan 2003) as a loop of DataFrame jo
 with a row per word, so no model passes through the driver and no word is dropped; texts are rows of counts.
 Every round visits every text: the shares of a text's topics are set anew from the words' topics, then
 the words' topics from the shares of all texts. Both are sums over the same join of counts and words, with
-partial sums before each shuffle; the words are broadcast if they were measured to fit, else the join is salted,
-as a common word stands in most texts. The driver sees no word and no share until the leading ones are asked for.
+partial sums before each shuffle; the words are broadcast if they were measured to fit. Else the ``COMMON`` words that
+stand in most texts are, so that most of the counts are divided and summed where their text is, and only the counts of
+the other words are shuffled. The driver sees no word and no share until the leading ones are asked for.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corpuslens.functions.text import explode_rows, with_term_counts
 from corpuslens.plans.lookups import fits_broadcast, lookup_join
 from corpuslens.plans.session import materialize
-from corpuslens.plans.storage import release
+from corpuslens.plans.storage import release, sweep
 
+#: Words that are broadcast if not all of them fit.
+COMMON = 100_000
 #: Terms of the recurrence that moves the argument to where the series holds.
 SHIFT = 6
 
@@ -35,8 +38,8 @@ def digamma(x: Column) -> Column:
 
 @dataclass
 class TopicModel:
-    """``words`` has (token, weight, w0, w1, ..., b0, b1, ...): how much of each topic a word carries, and by
-    which factor a text's share of the topic counts for it."""
+    """``words`` has (token, weight, common, w0, w1, ..., b0, b1, ...): whether a word is among the common ones, how
+    much of each topic it carries, and by which factor a text's share of the topic counts for it."""
 
     words: DataFrame
     n_topics: int
@@ -80,7 +83,13 @@ def term_statistics(texts: DataFrame) -> DataFrame:
 def with_words(texts: DataFrame, keep: list[str], words: DataFrame, broadcast: bool, how: str = "inner") -> DataFrame:
     """A row per word of a text, with what ``words`` has of it."""
     exploded = explode_rows(texts, keep, F.col("terms"), "x").select(*keep, "x.token", "x.tf")
-    return lookup_join(exploded, words, ["token"], how, keep, broadcast)
+    if broadcast:
+        return lookup_join(exploded, words, ["token"], how, keep, broadcast)
+    common = words.where("common")
+    others = exploded.join(F.broadcast(common.select("token")), "token", "left_anti")
+    # not salted, as no word of these stands in more texts than all of the common ones
+    rare = others.join(words.where(~F.col("common")), "token", how)
+    return exploded.join(F.broadcast(common), "token").select(rare.columns).union(rare)
 
 
 def divided(joined: DataFrame, keep: list[str], model: TopicModel, shares: list[Column], names: list[str]) -> DataFrame:
@@ -107,17 +116,21 @@ def text_shares(texts: DataFrame, keys: list[str], model: TopicModel, before: Da
     sums = divided(joined, group, model, shares, names).groupBy(*group).agg(
         *[(F.sum(n) + model.share_prior).alias(n) for n in names]
     )
-    return materialize(sums.select("*", *[F.exp(digamma(F.col(n))).alias(e) for n, e in zip(names, factors)]))
+    found = materialize(sums.select("*", *[F.exp(digamma(F.col(n))).alias(e) for n, e in zip(names, factors)]))
+    sweep(texts.sparkSession)
+    return found
 
 
 def word_weights(texts: DataFrame, keys: list[str], model: TopicModel, shares: DataFrame) -> DataFrame:
-    """(token, weight, w0, w1, ..., b0, b1, ...), stored, after one more update."""
+    """(token, weight, common, w0, w1, ..., b0, b1, ...), stored, after one more update."""
     group, factors = [*keys, "field"], [f"e{k}" for k in range(model.n_topics)]
     given = texts.join(shares.select(*group, *factors), group)
     joined = with_words(given, [*group, *factors], model.words, model.broadcast)
-    parts = divided(joined, ["token", "weight"], model, [F.col(e) for e in factors], model.names)
+    parts = divided(joined, ["token", "weight", "common"], model, [F.col(e) for e in factors], model.names)
     sums = parts.groupBy("token").agg(
-        F.max("weight").alias("weight"), *[(F.sum(w) + model.word_prior).alias(w) for w in model.names]
+        F.max("weight").alias("weight"),
+        F.max("common").alias("common"),
+        *[(F.sum(w) + model.word_prior).alias(w) for w in model.names],
     )
     return with_factors(sums, model.n_topics)
 
@@ -132,11 +145,18 @@ def with_factors(words: DataFrame, n_topics: int) -> DataFrame:
     totals = plain.agg(*[F.sum(n).alias(f"sum_{n}") for n in names]).withColumn("one", F.lit(1))
     joined = plain.withColumn("one", F.lit(1)).join(F.broadcast(totals), "one")
     factors = [F.exp(digamma(F.col(n)) - digamma(F.col(f"sum_{n}"))).alias(f"b{k}") for k, n in enumerate(names)]
-    found = materialize(joined.select("token", "weight", *names, *factors))
+    found = materialize(joined.select("token", "weight", "common", *names, *factors))
     release(plain)
+    sweep(words.sparkSession)
     return found
 
 
+def with_common(terms: DataFrame) -> DataFrame:
+    """The words with ``common``: whether a word is one of the ``COMMON`` that stand in the most texts."""
+    leading = terms.orderBy(F.desc("documents"), "token").limit(COMMON).select("token", F.lit(True).alias("common"))
+    return terms.join(F.broadcast(leading), "token", "left").withColumn("common", F.coalesce("common", F.lit(False)))
+
+
 def fit_topics(
     long: DataFrame,
     keys: list[str],
@@ -150,14 +170,16 @@ def fit_topics(
     The same rows give the same model: the start is drawn from a hash of each word.
     """
     texts = text_terms(long, keys)
-    terms = term_statistics(texts)
+    counted = materialize(term_statistics(texts))
+    terms = with_common(counted)
     prior = 1.0 / n_topics
     start = [
         (prior + 0.5 + F.pmod(F.xxhash64("token", F.lit(k), F.lit(seed)), F.lit(1_000_003)) / 1_000_003).alias(f"w{k}")
         for k in range(n_topics)
     ]
     weight = F.col("idf") if weighted else F.lit(1.0)
-    words = with_factors(terms.select("token", weight.alias("weight"), *start), n_topics)
+    words = with_factors(terms.select("token", weight.alias("weight"), "common", *start), n_topics)
+    release(counted)
     model = TopicModel(words, n_topics, prior, prior, fits_broadcast(words))
     shares = None
     for _ in range(iterations if words.take(1) else 0):

@@ -97,3 +97,31 @@ def test_digamma(spark):
     rows = spark.createDataFrame([(v,) for v in known], "x double").select(discovery.digamma(F.col("x")).alias("d")).collect()
     for due, row in zip(known.values(), rows):
         assert row["d"] == pytest.approx(due, abs=1e-8)
+
+
+def test_common_words_are_not_shuffled(spark, long_of, monkeypatch):
+    texts = themed(40) + ["rare one", "rare two", None]
+    one = discovery.fit_topics(long_of(texts), KEYS, n_topics=2, iterations=2)
+    assert one.broadcast
+    monkeypatch.setattr(discovery, "fits_broadcast", lambda *a, **k: False)
+    monkeypatch.setattr(discovery, "COMMON", 12)
+    two = discovery.fit_topics(long_of(texts), KEYS, n_topics=2, iterations=2)
+    found = {r["token"]: r["common"] for r in two.words.select("token", "common").collect()}
+    counts = Counter(w for t in texts if t for w in set(t.split()))
+    assert {w for w, common in found.items() if common} == set(sorted(counts, key=lambda w: (-counts[w], w))[:12])
+    carried = [{r["token"]: [r["w0"], r["w1"]] for r in m.words.collect()} for m in (one, two)]
+    assert carried[0].keys() == carried[1].keys()
+    assert all(carried[0][w] == pytest.approx(carried[1][w]) for w in carried[0])
+    terms = discovery.text_terms(long_of(texts), KEYS)
+    joined = discovery.with_words(terms, ["row_id", "field"], two.words, False)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "_salt" not in plan
+    due = Counter((i, w) for i, t in enumerate(texts) if t for w in t.split())
+    assert {(r["row_id"], r["token"]): r["tf"] for r in joined.collect()} == due
+
+
+def test_old_shuffles_go_between_rounds(spark, long_of, monkeypatch):
+    calls = []
+    monkeypatch.setattr(discovery, "sweep", lambda s: calls.append(1), raising=False)
+    discovery.fit_topics(long_of(themed(6)), KEYS, n_topics=2, iterations=2)
+    assert len(calls) >= 4
